@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hopwise.llm import tokens
+from hopwise.llm import quality, simhash, tokens
 from hopwise.llm.common import read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.verdicts(read_documents(spark, sf_dir), labels, stratum="lang", alpha=0.02, delta=0.05)
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_documents(spark, sf_dir), shingle_words=3, budget=3)
+    return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +28,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
 }
 
