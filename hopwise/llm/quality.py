@@ -174,6 +174,26 @@ def select_cutoffs(holdout: DataFrame, n_strata: int, stratum: str, alpha: float
     return best.select("stratum", "rule", "b.*")
 
 
+def failed_rules(rules: tuple[Rule, ...]) -> Column:
+    """Names of the rules whose selected cutoff (column cutoffs, by rule number) the statistics exceed."""
+    return F.array_compact(
+        F.array(*(F.when(F.expr(rule.statistic) > F.element_at("cutoffs", F.lit(k)), F.lit(rule.name)) for k, rule in enumerate(rules)))
+    )
+
+
+def good_documents(labels: DataFrame, id_col: str) -> DataFrame:
+    """Ids that are labelled good, by all of their labels."""
+    by_id = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("quality"))
+    return by_id.filter("quality = 1").select("__id")
+
+
+def cutoff_maps(holdout: DataFrame, n_strata: int, alpha: float, delta: float, rules: tuple[Rule, ...]) -> DataFrame:
+    """s and cutoffs (a map by rule number) for each stratum with a cutoff; small, written to the shared folder."""
+    cutoffs = select_cutoffs(holdout, n_strata, "stratum", alpha, delta, rules)
+    entries = F.map_from_entries(F.collect_list(F.struct("rule", "cutoff")))
+    return materialize(cutoffs.groupBy(F.col("stratum").alias("s")).agg(entries.alias("cutoffs")), "cutoffs")
+
+
 def verdicts(
     docs: DataFrame,
     labels: DataFrame,
@@ -189,26 +209,15 @@ def verdicts(
 
     labels: id and quality (1: good). A document with several labels is good if all say so.
     """
-    counts = materialize(statistics(docs.select(F.col(id_col).alias("__id"), F.col(stratum).alias("stratum"), text_col), ["__id", "stratum"], text_col), "statistics")
-    good = (
-        labels.filter(F.col(id_col).isNotNull())
-        .groupBy(F.col(id_col).alias("__id"))
-        .agg(F.min("quality").alias("quality"))
-        .filter("quality = 1")
-    )
-    holdout = counts.filter(~base_failed()).join(good, "__id", "left_semi")
+    named = docs.select(F.col(id_col).alias("__id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("__t"))
+    counts = materialize(statistics(named, ["__id", "stratum"], "__t"), "statistics")
+    holdout = counts.filter(~base_failed()).join(good_documents(labels, id_col), "__id", "left_semi")
     n_strata = counts.select("stratum").distinct().count()
-    cutoffs = select_cutoffs(holdout, n_strata, "stratum", alpha, delta, rules)
-    by_stratum = materialize(
-        cutoffs.groupBy(F.col("stratum").alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "cutoffs"
-    )
+    by_stratum = cutoff_maps(holdout, n_strata, alpha, delta, rules)
     judged = counts.join(by_stratum, F.col("stratum").eqNullSafe(F.col("s")), "left")
-    failed = F.array_compact(
-        F.array(*(F.when(F.expr(rule.statistic) > F.element_at("cutoffs", F.lit(k)), F.lit(rule.name)) for k, rule in enumerate(rules)))
-    )
     return (
         judged.withColumn("base_failed", base_failed())
-        .withColumn("failed_rules", failed)
+        .withColumn("failed_rules", failed_rules(rules))
         .select(
             F.col("__id").alias(id_col),
             *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
@@ -217,3 +226,29 @@ def verdicts(
             F.concat_ws(",", "failed_rules").alias("failed_rules"),
         )
     )
+
+
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum: str = "lang",
+    alpha: float = 0.02,
+    delta: float = 0.05,
+    rules: tuple[Rule, ...] = RULES,
+) -> DataFrame:
+    """The rows of docs that are kept.
+
+    The holdout's texts are counted first; then all rows are judged as they pass, so that texts needn't
+    be joined with verdicts.
+    """
+    strata = docs.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
+    good = good_documents(labels, id_col)
+    holdout = statistics(strata.join(good, "__id", "left_semi"), ["stratum"], "__t").filter(~base_failed())
+    by_stratum = cutoff_maps(holdout, strata.select("stratum").distinct().count(), alpha, delta, rules)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    counted = statistics(docs.select(whole, F.col(stratum).alias("stratum"), F.col(text_col).alias("__t")), ["__row", "stratum"], "__t")
+    judged = counted.join(by_stratum, F.col("stratum").eqNullSafe(F.col("s")), "left")
+    return judged.filter(~base_failed() & (F.size(failed_rules(rules)) == 0)).select("__row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import quality, simhash, tokens
+from hopwise.llm import decontam, mixing, quality, sharding, simhash, tokens
 from hopwise.llm.common import read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,16 +21,53 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contaminations(read_documents(spark, sf_dir), benchmark)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens.token_counts(read_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), max_tokens=1024)
 
 
+def mixing_levels() -> list[mixing.Level]:
+    """Domains are made of every fourth source; weights are those of the production mix."""
+    domain = F.concat(F.lit("domain"), F.pmod(F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("int"), F.lit(4)))
+    return [
+        mixing.Level("domain", domain, {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}),
+        mixing.Level("language", F.col("lang"), {"en": 5, "de": 2, "fr": 2, "es": 1}),
+        mixing.Level("origin", F.col("source")),
+    ]
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, _ = mixing.selection(read_documents(spark, sf_dir), mixing_levels(), max_epochs=3, seed=17)
+    return taken
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = sharding.write_shards(read_documents(spark, sf_dir).select("doc_id", "text"), 40, seed=29)
+    text = F.coalesce("text", F.lit(""))
+    return written.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_decontamination": op4_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
