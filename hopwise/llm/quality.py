@@ -246,9 +246,11 @@ def accepted(
     """
     strata = docs.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
     good = good_documents(labels, id_col)
-    holdout = statistics(strata.join(good, "__id", "left_semi"), ["stratum"], "__t").filter(~base_failed())
-    by_stratum = cutoff_maps(holdout, strata.select("stratum").distinct().count(), alpha, delta, rules)
+    holdout = materialize(statistics(strata.join(good, "__id", "left_semi"), ["stratum"], "__t"), "holdout")
+    by_stratum = cutoff_maps(holdout.filter(~base_failed()), strata.select("stratum").distinct().count(), alpha, delta, rules)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     counted = statistics(docs.select(whole, F.col(stratum).alias("stratum"), F.col(text_col).alias("__t")), ["__row", "stratum"], "__t")
     judged = counted.join(by_stratum, F.col("stratum").eqNullSafe(F.col("s")), "left")
-    return judged.filter(~base_failed() & (F.size(failed_rules(rules)) == 0)).select("__row.*")
+    # One comparison on both sides of the join: no part of it is moved below, where it would count words again.
+    faults = F.size(failed_rules(rules)) + F.when(base_failed(), 1).otherwise(0)
+    return judged.filter(faults == 0).select("__row.*")
