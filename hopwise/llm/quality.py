@@ -40,12 +40,12 @@ class Rule:
 
 #: Statistics are per cent, but mean_word is in characters. Ladders don't depend on data.
 RULES = (
-    Rule("symbols", "100 * n_symbols / n_words", tuple(range(300, 0, -4))),
-    Rule("capitals", "100 * n_capitals / word_chars", tuple(range(100, 4, -2))),
-    Rule("repeats", "100 * n_repeat_words / n_words", tuple(range(50, 0, -1))),
-    Rule("duplicate_lines", "100 * n_dup_lines / n_lines", tuple(range(100, 0, -2))),
-    Rule("long_words", "word_chars / n_words", tuple(range(200, 20, -10)) + tuple(range(20, 6, -1))),
-    Rule("marks", "100 * n_marks / word_chars", tuple(range(100, 2, -2))),
+    Rule("symbols", "100 * n_symbols / nullif(n_words, 0)", tuple(range(300, 0, -4))),
+    Rule("capitals", "100 * n_capitals / nullif(word_chars, 0)", tuple(range(100, 4, -2))),
+    Rule("repeats", "100 * n_repeat_words / nullif(n_words, 0)", tuple(range(50, 0, -1))),
+    Rule("duplicate_lines", "100 * n_dup_lines / nullif(n_lines, 0)", tuple(range(100, 0, -2))),
+    Rule("long_words", "word_chars / nullif(n_words, 0)", tuple(range(200, 20, -10)) + tuple(range(20, 6, -1))),
+    Rule("marks", "100 * n_marks / nullif(word_chars, 0)", tuple(range(100, 2, -2))),
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import decontam, mixing, quality, sharding, simhash, tokens
+from hopwise.llm import decontam, mixing, quality, secret_scan, sharding, simhash, tokens
 from hopwise.llm.common import read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(read_documents(spark, sf_dir), benchmark)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source stands for an owner, and a source's texts of one language for a repository."""
+    rows, _ = secret_scan.scan(read_documents(spark, sf_dir), owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    return rows
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_decontamination": op4_decontamination,
+    "op6_secret_scan": op6_secret_scan,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
