@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import decontam, mixing, quality, secret_scan, sharding, simhash, tokens
+from hopwise.llm import decontam, mixing, quality, secret_scan, sharding, simhash, tokens, warc
 from hopwise.llm.common import read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_revisit=1000)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
