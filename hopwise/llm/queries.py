@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import decontam, mixing, quality, secret_scan, sharding, simhash, tokens, warc
+from hopwise.llm import decontam, mixing, pii, quality, secret_scan, sharding, simhash, tokens, warc
 from hopwise.llm.common import read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read_documents(spark, sf_dir), labels, stratum="lang", alpha=0.02, delta=0.05)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(read_documents(spark, sf_dir)))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_documents(spark, sf_dir), shingle_words=3, budget=3)
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -73,6 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_pii": op2_pii,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op6_secret_scan": op6_secret_scan,
