@@ -18,7 +18,7 @@ def table(values: DataFrame, column: str) -> DataFrame:
     spark = values.sparkSession
     hashed = F.shiftrightunsigned(F.xxhash64(column), 64 - LOG_BITS)
     filled = values.select(hashed.alias("h")).groupBy(F.shiftright("h", 6).cast("long").alias("id")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))).alias("w")
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))).alias("w")
     )
     every = spark.range(1 << (LOG_BITS - 6), numPartitions=1).join(filled, "id", "left")
     pairs = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("p"))
@@ -29,4 +29,4 @@ def may_hold(words: Column, value: Column) -> Column:
     """False only if value isn't in the table."""
     h = F.shiftrightunsigned(F.xxhash64(value), 64 - LOG_BITS)
     word = F.get(words, F.shiftright(h, 6).cast("int"))
-    return F.shiftrightunsigned(word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1

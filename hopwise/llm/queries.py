@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import decontam, mixing, pii, quality, secret_scan, sharding, simhash, tokens, warc
+from hopwise.llm import decontam, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash, tokens, warc
 from hopwise.llm.common import read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,6 +30,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(read_documents(spark, sf_dir), benchmark)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.duplicates(read_documents(spark, sf_dir), min_words=5)
+    return found.select("doc_id", "line_no", F.col("keeper_id").alias("keeper_doc_id"), "keeper_line_no", "distance")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source stands for an owner, and a source's texts of one language for a repository."""
     rows, _ = secret_scan.scan(read_documents(spark, sf_dir), owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
@@ -80,6 +85,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_token_counts": op8_token_counts,
