@@ -90,7 +90,6 @@ def _angular_mass(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Sum of width * exp(-|low + k * width|) / (2 (1 - exp(-180))) for k in 0 .. 999."""
     with np.errstate(all="ignore"):
         n_negative = np.clip(np.ceil(-low / width), 0, STEPS)  # terms below 0
-        q = np.exp(-width)
 
         def series(first, n):  # first * (1 + q + ... + q ** (n - 1))
             return first * np.where(width < 1e-12, n, -np.expm1(-width * n) / -np.expm1(-width))
@@ -99,18 +98,15 @@ def _angular_mass(low: np.ndarray, width: np.ndarray) -> np.ndarray:
         negative = np.where(n_negative > 0, series(np.exp(np.minimum(last, 0)), n_negative), 0.0)
         start = low + n_negative * width
         positive = np.where(n_negative < STEPS, series(np.exp(-np.maximum(start, 0)), STEPS - n_negative), 0.0)
-        del q
         return (negative + positive) * width / (2 * (1 - math.exp(-180)))
 
 
-@F.arrow_udf("double")
-def correlated_probability(dist: pa.Array, dist_p_prev: pa.Array, dist_q_prev: pa.Array, radius: pa.Array, delta: pa.Array) -> pa.Array:
-    columns = [c.to_numpy(zero_copy_only=False) for c in (dist, dist_p_prev, dist_q_prev, radius, delta)]
-    return pa.array([correlated_value(*row) for row in zip(*(c.tolist() for c in columns), strict=True)], pa.float64())
+def correlated_probability(*columns: Column | str) -> Column:
+    """correlated_value of columns, in Arrow batches."""
 
+    @F.arrow_udf("double")
+    def run(dist: pa.Array, dist_p_prev: pa.Array, dist_q_prev: pa.Array, radius: pa.Array, delta: pa.Array) -> pa.Array:
+        values = [c.to_numpy(zero_copy_only=False).tolist() for c in (dist, dist_p_prev, dist_q_prev, radius, delta)]
+        return pa.array([correlated_value(*row) for row in zip(*values, strict=True)], pa.float64())
 
-def not_any(probability: Column) -> Column:
-    """Aggregate: 1 - product of (1 - probability), as long as no factor is 0 through logarithms."""
-    rest = 1 - probability
-    certain = F.max(F.when(rest <= 0, 1).otherwise(0))
-    return F.when(certain == 1, F.lit(1.0)).otherwise(1 - F.exp(F.sum(F.when(rest > 0, F.log(rest)))))
+    return run(*columns)
