@@ -126,10 +126,19 @@ def cell_box(row: Column, col: Column) -> Column:
 def ring(row: Column, col: Column, k: int) -> Column:
     """Array of the grid cells at Chebyshev distance k, within the grid."""
     offsets = [(r, c) for r in range(-k, k + 1) for c in range(-k, k + 1) if max(abs(r), abs(c)) == k]
-    cells = F.array(*(F.struct((row + r).alias("row"), (col + c).alias("col")) for r, c in offsets))
+    cells = F.array(*(F.struct((row + F.lit(r)).cast("long").alias("row"), (col + F.lit(c)).cast("long").alias("col")) for r, c in offsets))
     return F.filter(cells, lambda x: x["row"].between(0, GRID_ROWS - 1) & x["col"].between(0, GRID_COLS - 1))
 
 
+def rings(row: Column, col: Column, n: int) -> Column:
+    """Array of ring, row, col of the grid cells in the first n rings."""
+
+    def named(k: int) -> Column:
+        return F.transform(ring(row, col, k), lambda c: F.struct(F.lit(k).alias("ring"), c["row"].alias("row"), c["col"].alias("col")))
+
+    return F.flatten(F.array(*(named(k) for k in range(n))))
+
+
 def cells_of_circle(lng, lat, radius_km) -> Column:
     """Array of the grid cells that the circle's box touches."""
     b = circle_box(lng, lat, radius_km)

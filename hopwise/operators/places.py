@@ -22,7 +22,7 @@ def within(points: DataFrame, pois: DataFrame, radius: str = "radius", keys: tup
 
 def _in_rings(points: DataFrame, pois: DataFrame, key: str, rings: int) -> DataFrame:
     row, col = geo.cell_row("lat"), geo.cell_col("lng")
-    around = F.flatten(F.array(*(F.transform(geo.ring(row, col, k), lambda c, k=k: F.struct(F.lit(k).alias("ring"), c["row"].alias("row"), c["col"].alias("col"))) for k in range(rings))))
+    around = geo.rings(row, col, rings)
     asked = points.select(key, F.col("lng").alias("x"), F.col("lat").alias("y"), F.explode(around).alias("c"))
     met = asked.select(key, "x", "y", "c.ring", F.col("c.row").alias("cell_row"), F.col("c.col").alias("cell_col")).join(pois, ["cell_row", "cell_col"])
     return met.withColumn("dist", geo.haversine("x", "y", "lng", "lat"))

@@ -312,7 +312,7 @@ ORACLES: dict[str, str] = {
     "first_n_trips": BASE + "SELECT trip_id, t_start, t_end FROM trips ORDER BY t_start, t_end, trip_id LIMIT 20",
     "seed_sample": BASE + f"SELECT trip_id FROM (SELECT trip_id, row_number() OVER (ORDER BY {uniform('trip_id')}, trip_id) AS n, count(*) OVER () AS c FROM trips) WHERE n <= CAST(floor(c * 0.1::DOUBLE) AS BIGINT)",
     "susceptible_pool": BASE + "SELECT trip_id, n_stays FROM trips WHERE trip_id NOT IN (SELECT trip_id FROM seeds)",
-    "haversine_pairs": BASE + f"SELECT trip_id, seq, round({hav('x', 'y', 'lng', 'lat')}, 4) AS dist_km FROM (SELECT *, lag(lng) OVER w AS x, lag(lat) OVER w AS y FROM stays WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) WHERE x IS NOT NULL",
+    "haversine_pairs": BASE + f"SELECT trip_id, seq, round({hav('x', 'y', 'lng', 'lat')}, 3) AS dist_km FROM (SELECT *, lag(lng) OVER w AS x, lag(lat) OVER w AS y FROM stays WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) WHERE x IS NOT NULL",
     "grid_cells": BASE + f"SELECT poi_id, cell_row, cell_col, cell_row * 500 + cell_col AS cell_id, lng BETWEEN 114 AND 119 AND lat BETWEEN 38 AND 43 AS covered, {_boxes(CELL)} FROM pois",
     "circle_bbox": BASE + f"SELECT poi_id, {_boxes(circle('lng', 'lat', '(poi_id % 4 * 0.25::DOUBLE)'))} FROM pois",
     "bbox_relations": BASE + f"SELECT a.trip_id, {contains(A, B)} AS contains, {contains(B, A)} AS inside, NOT {contains(B, A)} AS not_inside, {intersects(A, B)} AS intersects, {contains(A, POINT)} AS has_point, CASE WHEN {contains(A, DISC)} OR {contains(DISC, A)} THEN 1 WHEN {intersects(A, DISC)} THEN 0 ELSE -1 END AS circle_state {NEXT}",

@@ -120,7 +120,7 @@ def susceptible_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way from each stay to the next."""
     before = C.with_previous(the_stays(spark, sf_dir)).filter("prev_lng is not null")
-    return before.select("trip_id", "seq", F.round(geo.haversine("prev_lng", "prev_lat", "lng", "lat"), 4).alias("dist_km"))
+    return before.select("trip_id", "seq", F.round(geo.haversine("prev_lng", "prev_lat", "lng", "lat"), 3).alias("dist_km"))
 
 
 @query
@@ -174,7 +174,7 @@ def box_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ring_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pois = the_pois(spark)
-    rings = F.flatten(F.array(*(F.transform(geo.ring(F.col("cell_row"), F.col("cell_col"), k), lambda c, k=k: F.struct(F.lit(k).alias("ring"), c["row"].alias("row"), c["col"].alias("col"))) for k in range(3))))
+    rings = geo.rings(F.col("cell_row"), F.col("cell_col"), 3)
     return pois.select("poi_id", F.explode(rings).alias("c")).select("poi_id", "c.*")
 
 
