@@ -312,7 +312,7 @@ ORACLES: dict[str, str] = {
     "first_n_trips": BASE + "SELECT trip_id, t_start, t_end FROM trips ORDER BY t_start, t_end, trip_id LIMIT 20",
     "seed_sample": BASE + f"SELECT trip_id FROM (SELECT trip_id, row_number() OVER (ORDER BY {uniform('trip_id')}, trip_id) AS n, count(*) OVER () AS c FROM trips) WHERE n <= CAST(floor(c * 0.1::DOUBLE) AS BIGINT)",
     "susceptible_pool": BASE + "SELECT trip_id, n_stays FROM trips WHERE trip_id NOT IN (SELECT trip_id FROM seeds)",
-    "haversine_pairs": BASE + f"SELECT trip_id, seq, round({hav('x', 'y', 'lng', 'lat')}, 3) AS dist_km FROM (SELECT *, lag(lng) OVER w AS x, lag(lat) OVER w AS y FROM stays WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) WHERE x IS NOT NULL",
+    "haversine_pairs": BASE + f"SELECT trip_id, seq, round({hav('x', 'y', 'lng', 'lat')}, 5) AS dist_km FROM (SELECT *, lag(lng) OVER w AS x, lag(lat) OVER w AS y FROM stays WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) WHERE x IS NOT NULL",
     "grid_cells": BASE + f"SELECT poi_id, cell_row, cell_col, cell_row * 500 + cell_col AS cell_id, lng BETWEEN 114 AND 119 AND lat BETWEEN 38 AND 43 AS covered, {_boxes(CELL)} FROM pois",
     "circle_bbox": BASE + f"SELECT poi_id, {_boxes(circle('lng', 'lat', '(poi_id % 4 * 0.25::DOUBLE)'))} FROM pois",
     "bbox_relations": BASE + f"SELECT a.trip_id, {contains(A, B)} AS contains, {contains(B, A)} AS inside, NOT {contains(B, A)} AS not_inside, {intersects(A, B)} AS intersects, {contains(A, POINT)} AS has_point, CASE WHEN {contains(A, DISC)} OR {contains(DISC, A)} THEN 1 WHEN {intersects(A, DISC)} THEN 0 ELSE -1 END AS circle_state {NEXT}",
@@ -320,16 +320,16 @@ ORACLES: dict[str, str] = {
     "box_box_mindist": BASE + f"SELECT a.trip_id, round({box_distance(A, MOVED)}, 4) AS dist_km {NEXT}",
     "box_perimeter": BASE + f"SELECT a.trip_id, round({perimeter(A)}, 4) AS perimeter_km, round(CASE WHEN {contains(A, B)} THEN 0 ELSE {perimeter(union_box(A, B))} - {perimeter(A)} END, 4) AS increment_km {NEXT}",
     "ring_neighbors": BASE + 'SELECT poi_id, CAST(greatest(abs(r), abs(c)) AS INT) AS ring, cell_row + r AS "row", cell_col + c AS col FROM pois CROSS JOIN range(-2, 3) a(r) CROSS JOIN range(-2, 3) b(c) WHERE cell_row + r BETWEEN 0 AND 499 AND cell_col + c BETWEEN 0 AND 499',
-    "pois_in_disc": BASE + f"SELECT point_key, poi_id, round(dist, 4) AS dist_km FROM {DISC_PAIRS} WHERE dist <= 0.25",
-    "nearest_poi": BASE + f"""SELECT point_id, poi_id, round(dist, 4) AS dist_km, ring FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ring, dist, poi_id) AS n FROM (
+    "pois_in_disc": BASE + f"SELECT point_key, poi_id, round(dist, 5) AS dist_km FROM {DISC_PAIRS} WHERE dist <= 0.25",
+    "nearest_poi": BASE + f"""SELECT point_id, poi_id, round(dist, 5) AS dist_km, ring FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ring, dist, poi_id) AS n FROM (
       SELECT x.point_id, o.poi_id, {hav('x.lng', 'x.lat', 'o.lng', 'o.lat')} AS dist, CAST(greatest(abs(o.cell_row - CAST(floor((43.0::DOUBLE - x.lat) / 0.01::DOUBLE) AS BIGINT)), abs(o.cell_col - CAST(floor((x.lng - 114.0::DOUBLE) / 0.01::DOUBLE) AS BIGINT))) AS INT) AS ring
       FROM points x JOIN pois o ON true) WHERE ring < 5) WHERE n = 1""",
-    "knn_pois": BASE + f"SELECT point_id, CAST(rank AS INT) AS rank, poi_id, round(dist, 4) AS dist_km FROM ({near('points', 'point_id', 5, 0.5, 2)})",
+    "knn_pois": BASE + f"SELECT point_id, CAST(rank AS INT) AS rank, poi_id, round(dist, 5) AS dist_km FROM ({near('points', 'point_id', 5, 0.5, 2)})",
     "trip_prefilter_pairs": BASE + f"""SELECT * FROM (SELECT a.trip_id AS q_trip, b.trip_id AS p_trip, a.t_start <= b.t_end AND b.t_start <= a.t_end AS in_time, {intersects(A, B)} OR {box_distance(A, B)} <= 0.1 AS in_space
       FROM trips a JOIN trips b ON a.trip_id <> b.trip_id WHERE a.trip_id NOT IN (SELECT trip_id FROM seeds) AND b.trip_id IN (SELECT trip_id FROM seeds)) WHERE in_time OR in_space""",
     "interval_overlap_join": BASE + "SELECT q.trip_id AS q_trip, q.seq AS i, count(*) AS n_overlaps, CAST(sum(least(q.leave_ts, p.leave_ts) - greatest(q.arrive_ts, p.arrive_ts)) AS BIGINT) AS overlap_s FROM q JOIN p ON q.trip_id <> p.trip_id AND q.arrive_ts < p.leave_ts AND p.arrive_ts < q.leave_ts GROUP BY ALL",
     "contact_pairs": BASE + pair_ctes("x", "q", "p", "q.point_id = p.point_id") + "SELECT q_trip, i, p_trip, j, start_ts, end_ts FROM pairs_x",
-    "contact_pairs_radius": BASE + pair_ctes("x", "q", "p", f"{FAR} <= {RADIUS}", FAR) + "SELECT q_trip, i, p_trip, j, start_ts, end_ts, round(dist, 4) AS dist_km FROM pairs_x",
+    "contact_pairs_radius": BASE + pair_ctes("x", "q", "p", f"{FAR} <= {RADIUS}", FAR) + "SELECT q_trip, i, p_trip, j, start_ts, end_ts, round(dist, 5) AS dist_km FROM pairs_x",
     "contact_runs": BASE + pair_ctes("x", "q", "p", f"{FAR} <= {RADIUS}") + "SELECT q_trip, p_trip, CAST(run AS BIGINT) AS run, min(run_start) AS run_start, CAST(max(cum) AS BIGINT) AS duration_s, count(*) AS n_pairs FROM runs_x GROUP BY q_trip, p_trip, run",
     "direct_contacts": BASE + pair_ctes("x", "q", "p", "q.point_id = p.point_id") + contact_ctes("x", 1) + "SELECT susceptible_id, spreader_id, cst FROM new_x",
     "multi_hop_contacts": BASE + trace() + "SELECT susceptible_id, spreader_id, cst, hop FROM all_h",
@@ -343,8 +343,8 @@ ORACLES: dict[str, str] = {
     "planar_laplace_noise": BASE + lambert_ctes("stays", uniform(str(SEED), "trip_id", "seq", "2")) + f"SELECT trip_id, seq, round(-(wv + 1) / {EPS}::DOUBLE, 6) AS radius_km FROM w",
     "geo_ind_trips": BASE + geo_ctes() + f"SELECT {NOISY.format(ROUND('radius'))} FROM geo_stays",
     "geo_ind_trips_compat": BASE + geo_ctes(compat=True) + f"SELECT {NOISY.format(ROUND('radius'))} FROM geo_stays",
-    "semantic_ind_trips": BASE + semantic_ctes() + f"SELECT {NOISY.format('round(radius, 4)')} FROM semantic_stays",
-    "geosemantic_ind_trips": BASE + geosemantic_ctes() + f"SELECT {NOISY.format('round(radius, 4)')} FROM gs_stays",
+    "semantic_ind_trips": BASE + semantic_ctes() + f"SELECT {NOISY.format('round(radius, 5)')} FROM semantic_stays",
+    "geosemantic_ind_trips": BASE + geosemantic_ctes() + f"SELECT {NOISY.format('round(radius, 5)')} FROM gs_stays",
     "contact_prob_independent": f"SELECT case_id, round({probability('dist', 'radius', 'delta')}, 5) AS probability FROM ({CASES})",
     "pair_probabilities": BASE + private_ctes() + "SELECT q_trip, i, p_trip, j, round(prob, 4) AS probability FROM probs",
     "aggregated_contact_prob": BASE + private_ctes() + "SELECT susceptible_id, round(probability, 4) AS probability FROM joint WHERE probability >= 1e-12 OR most >= 1e-12",
@@ -358,6 +358,6 @@ ORACLES: dict[str, str] = {
     "float_tag": "SELECT id, replace(regexp_replace(printf('%.6f', id / 8), '(\\.[0-9]+?)0+$', '\\1'), '.', '-') AS tag FROM range(300) t(id)",
     "split_tokens": "SELECT event_id, CAST(len(t) AS BIGINT) AS n_tokens, t[1] AS first, t[-1] AS last FROM (SELECT event_id, string_split(event_type || ',,' || props, ',') AS t FROM events)",
     "contact_export": BASE + trace() + "SELECT susceptible_id || ', ' || spreader_id || ', ' || cst || ',' || hop || 'hop' AS line FROM all_h",
-    "noisy_trip_export": BASE + semantic_ctes() + "SELECT printf('%d,%.7f,%.7f,,%.7f,%.7f,%.7f,,%d,%d', trip_id, lng, lat, nlng, nlat, round(nr, 4), arrive_ts, leave_ts) AS line FROM semantic",
+    "noisy_trip_export": BASE + semantic_ctes() + "SELECT printf('%d,%.7f,%.7f,,%.7f,%.7f,%.7f,,%d,%d', trip_id, lng, lat, nlng, nlat, round(nr, 5), arrive_ts, leave_ts) AS line FROM semantic",
     "run_parameters": "SELECT * FROM (VALUES ('contact_min_duration', '600'), ('contact_min_prob', '0.0'), ('data_total', '10'), ('dataset_type', 'Synthetic'), ('home_path', './Testing/'), ('identical_poi_dist_max', '0.0'), ('independent_contact_prob', 'True'), ('init_contact_ratio', '0.2'), ('multi_hop', '5'), ('privacy_epsilon_geo', '4.0'), ('privacy_epsilon_semantic', '4.0'), ('privacy_model', 'geo'), ('search_type', 'IR'), ('run_name', 'Synthetic_D10_QR0-2_G_EG4-0_FS_MH5_CD0-0_CT600_IR')) t(key, value)",
 }

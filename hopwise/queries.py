@@ -120,7 +120,7 @@ def susceptible_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way from each stay to the next."""
     before = C.with_previous(the_stays(spark, sf_dir)).filter("prev_lng is not null")
-    return before.select("trip_id", "seq", F.round(geo.haversine("prev_lng", "prev_lat", "lng", "lat"), 3).alias("dist_km"))
+    return before.select("trip_id", "seq", F.round(geo.haversine("prev_lng", "prev_lat", "lng", "lat"), 5).alias("dist_km"))
 
 
 @query
@@ -182,7 +182,7 @@ def ring_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pois_in_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pois = the_pois(spark)
     asked = pois.select(F.col("poi_id").alias("point_key"), "lng", "lat", F.lit(0.25).alias("radius"))
-    return places.within(asked, pois).select("point_key", "poi_id", F.round("dist", 4).alias("dist_km"))
+    return places.within(asked, pois).select("point_key", "poi_id", F.round("dist", 5).alias("dist_km"))
 
 
 def gps_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,13 +192,13 @@ def gps_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def nearest_poi(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = places.nearest(gps_coordinates(spark, sf_dir), the_pois(spark), "point_id")
-    return found.select("point_id", "poi_id", F.round("dist", 4).alias("dist_km"), "ring")
+    return found.select("point_id", "poi_id", F.round("dist", 5).alias("dist_km"), "ring")
 
 
 @query
 def knn_pois(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = places.k_nearest(gps_coordinates(spark, sf_dir), the_pois(spark), "point_id", k=5, max_km=0.5, rings=2)
-    return found.select("point_id", "rank", "poi_id", F.round("dist", 4).alias("dist_km"))
+    return found.select("point_id", "rank", "poi_id", F.round("dist", 5).alias("dist_km"))
 
 
 @query
@@ -226,7 +226,7 @@ def contact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def contact_pairs_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = C.pairs(*split_sides(the_stays(spark, sf_dir)), d_km=RADIUS_KM, min_duration=MIN_DURATION)
-    return met.select("q_trip", "i", "p_trip", "j", "start_ts", "end_ts", F.round("dist", 4).alias("dist_km"))
+    return met.select("q_trip", "i", "p_trip", "j", "start_ts", "end_ts", F.round("dist", 5).alias("dist_km"))
 
 
 @query
@@ -326,13 +326,13 @@ def geo_ind_trips_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def semantic_ind_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = privacy.semantic_points(susceptible_stays(the_stays(spark, sf_dir)), the_pois(spark), the_distributions(spark), EPSILON)
-    return rounded(privacy.as_trips(points), "lng", "lat").withColumn("radius", F.round("radius", 4))
+    return rounded(privacy.as_trips(points), "lng", "lat").withColumn("radius", F.round("radius", 5))
 
 
 @query
 def geosemantic_ind_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = privacy.geo_semantic_points(susceptible_stays(the_stays(spark, sf_dir)), the_pois(spark), the_distributions(spark), EPSILON, EPSILON)
-    return rounded(privacy.as_trips(points), "lng", "lat").withColumn("radius", F.round("radius", 4))
+    return rounded(privacy.as_trips(points), "lng", "lat").withColumn("radius", F.round("radius", 5))
 
 
 def probability_cases(spark: SparkSession) -> DataFrame:
@@ -449,7 +449,7 @@ def contact_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def noisy_trip_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = privacy.semantic_points(susceptible_stays(the_stays(spark, sf_dir)), the_pois(spark), the_distributions(spark), EPSILON)
-    rows = points.select("trip_id", "lng", "lat", F.lit(None).cast("array<double>").alias("distribution"), "noisy_lng", "noisy_lat", F.round("noisy_radius", 4).alias("displacement"), F.lit(None).cast("array<double>").alias("noisy_distribution"), "arrive_ts", "leave_ts")
+    rows = points.select("trip_id", "lng", "lat", F.lit(None).cast("array<double>").alias("distribution"), "noisy_lng", "noisy_lat", F.round("noisy_radius", 5).alias("displacement"), F.lit(None).cast("array<double>").alias("noisy_distribution"), "arrive_ts", "leave_ts")
     return sinks.noisy_trip_lines(rows)
 
 
