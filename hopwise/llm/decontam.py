@@ -94,22 +94,20 @@ class Benchmark:
 def longest_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int]:
     """(start, end) of the longest stretch with so large a share of equal tokens; the first of these."""
     n = len(equal)
+    if not n:
+        return 0, 0
     sums = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - similarity, -similarity))])
-    least = np.minimum.accumulate(sums)  # the earliest start is the best: find the first sum low enough
+    # A stretch starts and ends with equal tokens, and its sum isn't negative: for each end, the first such start.
+    least = np.minimum.accumulate(np.append(np.where(equal, sums[:-1], np.inf), np.inf))
     starts = np.searchsorted(-least, -(sums + 1e-9), "left")
-    lengths = np.arange(n + 1) - starts
+    lengths = np.where(np.append(False, equal), np.arange(n + 1) - starts, 0)
     end = int(np.argmax(lengths))
-    start = int(starts[end])
-    while start < end and not equal[start]:
-        start += 1
-    while end > start and not equal[end - 1]:
-        end -= 1
-    return start, end
+    return (int(starts[end]), end) if lengths[end] > 0 else (0, 0)
 
 
 def overlaps(text: np.ndarray, item: np.ndarray, diagonal: int, similarity: float, min_tokens: int) -> tuple[int, int, int, int] | None:
     """(doc_start, item_start, n_tokens, n_equal) along a diagonal, if it is long enough."""
-    a, b = max(0, -diagonal), min(len(item), len(text) - diagonal)
+    a, b = max(0, -diagonal), max(0, -diagonal, min(len(item), len(text) - diagonal))
     equal = item[a:b] == text[a + diagonal : b + diagonal]
     start, end = longest_stretch(equal, similarity)
     if end - start < min(min_tokens, len(item)):

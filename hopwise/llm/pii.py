@@ -166,33 +166,39 @@ def disclosures(docs: DataFrame, each: DataFrame, min_support: int, threshold: f
 
 
 def term_spans(docs: DataFrame, revealing: DataFrame) -> DataFrame:
-    """__text and found (start, end, term) of revealing terms, once for each different text. docs: __t."""
-    import regex
+    """__text and found (spans of revealing terms with their disclosure), once for each different text. docs: __t.
 
-    letters = regex.compile(r"\p{L}+")
+    First the texts' revealing terms are found by a join, then only those texts are read for places.
+    """
+    key = F.md5(F.coalesce("__t", F.lit("")))
+    held = materialize(bits.table(revealing, "term"), "revealing").scalar()
+    words = docs.select(key.alias("__text"), F.explode(terms(F.coalesce("__t", F.lit("")))).alias("term"))
+    joined = words.filter(bits.may_hold(held, F.col("term"))).join(revealing, "term")
+    hits = materialize(joined.groupBy("__text").agg(F.collect_set(F.struct("term", "disclosure")).alias("hits")), "hits")
+    some = materialize(bits.table(hits, "__text"), "texts").scalar()
+    texts = docs.select(key.alias("__text"), "__t").filter(bits.may_hold(some, F.col("__text"))).groupBy("__text").agg(F.first("__t").alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        letters = regex.compile(r"\p{L}+")
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64())]))
         for batch in batches:
-            keys, starts, ends, names = [], [], [], []
-            for text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key, wanted = hashlib.md5(text.encode("utf-8")).hexdigest(), set(hits)
-                taken = detect(text)
+            out = []
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                share, taken, spans = {h["term"]: h["disclosure"] for h in found}, detect(text), []
+                k = 0
                 for m in letters.finditer(text):
-                    word = m[0].lower()
-                    if word in wanted and not any(a < m.end() and m.start() < b for a, _, b in taken):
-                        keys.append(key)
-                        starts.append(m.start())
-                        ends.append(m.end())
-                        names.append(word)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(names, pa.string())], names=["__text", "start", "end", "term"]
-            )
-
-    held = materialize(bits.table(revealing, "term"), "revealing")
-    words = held.scalar()
-    hit = docs.select("__t", F.filter(terms(F.coalesce("__t", F.lit(""))), lambda t: bits.may_hold(words, t)).alias("hits"))
-    found = hit.filter(F.size("hits") > 0).mapInArrow(run, "__text string, start int, end int, term string")
-    return found.distinct().join(revealing, "term").groupBy("__text").agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end", "disclosure")).alias("found"))
+                    if m[0].lower() in share:
+                        while k < len(taken) and taken[k][2] <= m.start():
+                            k += 1
+                        if not any(a < m.end() and m.start() < b for a, _, b in taken[k : k + 4]):
+                            spans.append({"start": m.start(), "rank": 4, "end": m.end(), "disclosure": share[m[0].lower()]})
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["__text", "found"])
+
+    ddl = "__text string, found array<struct<start:int,rank:int,end:int,disclosure:double>>"
+    return texts.join(hits, "__text").select("__text", "__t", "hits").mapInArrow(run, ddl)
 
 
 def scan(
