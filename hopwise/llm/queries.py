@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm import decontam, line_dedup, mixing, pii, quality, secret_scan, sharding, simhash, tokens, warc
+from hopwise.llm import decontam, line_dedup, mixing, oracles, pii, quality, secret_scan, sharding, simhash, tokens, warc
 from hopwise.llm.common import read_documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,12 +51,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), max_tokens=1024)
 
 
+DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
+LANGUAGE_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
+
+
 def mixing_levels() -> list[mixing.Level]:
     """Domains are made of every fourth source; weights are those of the production mix."""
     domain = F.concat(F.lit("domain"), F.pmod(F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("int"), F.lit(4)))
     return [
-        mixing.Level("domain", domain, {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}),
-        mixing.Level("language", F.col("lang"), {"en": 5, "de": 2, "fr": 2, "es": 1}),
+        mixing.Level("domain", domain, DOMAIN_WEIGHTS),
+        mixing.Level("language", F.col("lang"), LANGUAGE_WEIGHTS),
         mixing.Level("origin", F.col("source")),
     ]
 
@@ -93,4 +97,16 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": oracles.LINES,
+    "op7_warc": oracles.WARC,
+    "op9_mixing": oracles.mixing(
+        [
+            ("domain", "'domain' || TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4", DOMAIN_WEIGHTS, 1),
+            ("language", "lang", LANGUAGE_WEIGHTS, 1),
+            ("origin", "source", {}, 1),
+        ],
+        max_epochs=3,
+        seed=17,
+    ),
+}
