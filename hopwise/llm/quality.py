@@ -241,16 +241,13 @@ def accepted(
 ) -> DataFrame:
     """The rows of docs that are kept.
 
-    The holdout's texts are counted first; then all rows are judged as they pass, so that texts needn't
-    be joined with verdicts.
+    Rows and their statistics are written once, so that texts are neither counted twice nor joined with
+    labels or verdicts.
     """
-    strata = docs.select(F.col(stratum).alias("stratum"), F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    good = good_documents(labels, id_col)
-    holdout = materialize(statistics(strata.join(good, "__id", "left_semi"), ["stratum"], "__t"), "holdout")
-    by_stratum = cutoff_maps(holdout.filter(~base_failed()), strata.select("stratum").distinct().count(), alpha, delta, rules)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    counted = statistics(docs.select(whole, F.col(stratum).alias("stratum"), F.col(text_col).alias("__t")), ["__row", "stratum"], "__t")
+    named = docs.select(whole, F.col(id_col).alias("__id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("__t"))
+    counted = materialize(statistics(named, ["__row", "__id", "stratum"], "__t"), "counted")
+    holdout = counted.drop("__row").filter(~base_failed()).join(good_documents(labels, id_col), "__id", "left_semi")
+    by_stratum = cutoff_maps(holdout, counted.select("stratum").distinct().count(), alpha, delta, rules)
     judged = counted.join(by_stratum, F.col("stratum").eqNullSafe(F.col("s")), "left")
-    # One comparison on both sides of the join: no part of it is moved below, where it would count words again.
-    faults = F.size(failed_rules(rules)) + F.when(base_failed(), 1).otherwise(0)
-    return judged.filter(faults == 0).select("__row.*")
+    return judged.filter(~base_failed() & (F.size(failed_rules(rules)) == 0)).select("__row.*")
