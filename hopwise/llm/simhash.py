@@ -250,7 +250,9 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     special = keys.filter((F.col("c") != F.col(id_col)) | (F.col("n") > 1)).select(
         F.col(id_col).alias("__id"), (F.col("c") != F.col(id_col)).alias("__drop")
     )
+    special = materialize(special, "special")
     marked = docs.join(special, F.col(id_col) == F.col("__id"), "left")
     once = marked.filter(F.col("__id").isNull()).select(docs.columns)
-    repeated = marked.filter(~F.col("__drop")).select(docs.columns).dropDuplicates([id_col])
-    return once.union(repeated)
+    if special.filter(~F.col("__drop")).isEmpty():  # no repeated ids: docs needn't be read again for them
+        return once
+    return once.union(marked.filter(~F.col("__drop")).select(docs.columns).dropDuplicates([id_col]))
