@@ -28,7 +28,7 @@ def test_stages_in_order(spark, docs, tmp_path):
     columns = now.columns
     now = stages["quality_rules"](spark, now, sf_dir)
     assert now.columns == columns and {r["doc_id"] for r in now.collect()} == {r[0] for r in rows} - {103}
-    before = [(r["doc_id"], simhash.fingerprint(r["text"], 5)) for r in now.collect()]
+    before = [(r["doc_id"], simhash.fingerprint(r["text"], 3)) for r in now.collect()]
     now = stages["near_dedup"](spark, now, sf_dir)
     left = {r["doc_id"] for r in now.collect()}
     close = {a for a, f in before for b, g in before if b < a and bin(f ^ g).count("1") <= 3}
