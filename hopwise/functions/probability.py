@@ -11,9 +11,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from hopwise.plans.workers import importable
+
 STEPS = 1000
 
 
@@ -103,6 +105,7 @@ def _angular_mass(low: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 def correlated_probability(*columns: Column | str) -> Column:
     """correlated_value of columns, in Arrow batches."""
+    importable(SparkSession.getActiveSession())
 
     @F.arrow_udf("double")
     def run(dist: pa.Array, dist_p_prev: pa.Array, dist_q_prev: pa.Array, radius: pa.Array, delta: pa.Array) -> pa.Array:
