@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopwise.plans.workers import importable
+
 #: What separates words: space and the ASCII controls from tab to carriage return.
 GAPS = r"[\x20\x09-\x0D]+"
 
@@ -55,6 +57,7 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def bound_arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
     """Keep the batches sent to Python workers small, whatever the length of the texts."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
