@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the table, as a power of two: 128 KB.
-LOG_BITS = 20
+#: Bits of the table, as a power of two: 512 KB.
+LOG_BITS = 22
 
 
-def table(values: DataFrame, column: str) -> DataFrame:
-    """One row with words: the bit table of a column's hashes, as longs of 64 bits."""
+def table(values: DataFrame, *columns: str) -> DataFrame:
+    """One row with words: the bit table of some columns' hashes, as longs of 64 bits."""
     spark = values.sparkSession
-    hashed = F.shiftrightunsigned(F.xxhash64(column), 64 - LOG_BITS)
+    hashed = F.shiftrightunsigned(F.xxhash64(*columns), 64 - LOG_BITS)
     filled = values.select(hashed.alias("h")).groupBy(F.shiftright("h", 6).cast("long").alias("id")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))).alias("w")
     )
@@ -25,8 +25,8 @@ def table(values: DataFrame, column: str) -> DataFrame:
     return pairs.select(F.transform("p", lambda x: x["w"]).alias("words"))
 
 
-def may_hold(words: Column, value: Column) -> Column:
-    """False only if value isn't in the table."""
-    h = F.shiftrightunsigned(F.xxhash64(value), 64 - LOG_BITS)
+def may_hold(words: Column, *values: Column) -> Column:
+    """False only if the values (of the same types as the columns) aren't in the table."""
+    h = F.shiftrightunsigned(F.xxhash64(*values), 64 - LOG_BITS)
     word = F.get(words, F.shiftright(h, 6).cast("int"))
     return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1

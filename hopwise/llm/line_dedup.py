@@ -53,19 +53,21 @@ def _halves(w: Column, n: Column) -> Column:
 
 
 def _prefix_xor(values: Column) -> Column:
-    """For each element of an array of longs, the exclusive or of those before it; in blocks."""
-    block = 64
+    """For each element of an array of longs, the exclusive or of those before it; in blocks of the root of their number."""
 
     def of(v: Column) -> Column:
         fold = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-        n_blocks = F.ceil(F.size(v) / block).cast("int")
-        sums = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: fold(F.slice(v, b * block + 1, block)))
 
-        def place(starts: Column) -> Column:
-            at = lambda k: F.floor(k / block).cast("int")
-            return F.transform(v, lambda _, k: F.get(starts, at(k)).bitwiseXOR(fold(F.slice(v, at(k) * block + 1, k % block))))
+        def blocked(block: Column) -> Column:
+            sums = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / block).cast("int") - 1), lambda b: fold(F.slice(v, b * block + 1, block)))
 
-        return let(sums, lambda s: let(F.transform(s, lambda _, b: fold(F.slice(s, F.lit(1), b))), place))
+            def place(starts: Column) -> Column:
+                at = lambda k: F.floor(k / block).cast("int")
+                return F.transform(v, lambda _, k: F.get(starts, at(k)).bitwiseXOR(fold(F.slice(v, at(k) * block + 1, k % block))))
+
+            return let(sums, lambda s: let(F.transform(s, lambda _, b: fold(F.slice(s, F.lit(1), b))), place))
+
+        return let(F.greatest(F.lit(4), F.ceil(F.sqrt(F.size(v))).cast("int")), blocked)
 
     return let(values, of)
 
@@ -116,15 +118,22 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines = materialize(found.select(at.alias("at"), _hash_pair(F.col("w")).alias("h"), near.alias("halves")), "lines")
     distinct = materialize(lines.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")), "distinct")
 
-    halves = distinct.filter("halves is not null").select("h", "first", F.explode("halves").alias("k"))
+    halves = distinct.filter("halves is not null").select("h", "first", F.posexplode("halves").alias("nth", "k"))
     shared = halves.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    some = materialize(halves.join(shared, "k", "left_semi").select("h", "first").distinct(), "survivors")
-    table = materialize(bits.table(some.select("h.a"), "a"), "survivor-bits").scalar()
-    again = found.select(at.alias("at"), _hash_pair(F.col("w")).alias("h"), "w").filter(bits.may_hold(table, F.col("h.a")))
-    texts = materialize(some.join(again, "h").filter(F.col("at") == F.col("first")).select("first", "h", "w"), "texts")
-
-    count = F.size("w")
-    variants = texts.select("first", count.alias("n"), F.posexplode(F.arrays_zip(_variant_hashes(F.col("w"), 1).alias("a"), _variant_hashes(F.col("w"), 2).alias("b"))).alias("gap", "v"))
+    left, right = F.max(F.col("nth") % 2 == 0).alias("left"), F.max(F.col("nth") % 2 == 1).alias("right")
+    some = materialize(halves.join(shared, "k", "left_semi").groupBy("h", "first").agg(left, right), "survivors")
+    # Their words are read again at their earliest place; other lines needn't be split into words for that.
+    table = materialize(bits.table(some.select("first.id", "first.line_no"), "id", "line_no"), "survivor-bits").scalar()
+    raw = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
+    again = raw.filter(bits.may_hold(table, F.col("__id"), F.col("line_no"))).select("__id", "line_no", F.array_remove(F.split("line", GAPS), "").alias("w"))
+    here = F.col("__id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no"))
+    joined = some.join(again.select("__id", "line_no", _hash_pair(F.col("w")).alias("h"), "w"), "h").filter(here)
+    texts = materialize(joined.select("first", "h", "w", "left", "right").dropDuplicates(["h"]), "texts")
+
+    # A line that shares its first half with another needs the variants without a later word only, and so on.
+    n_words, gap, half = F.size("w"), F.col("gap"), F.floor((F.col("n") - 1) / 2)
+    variants = texts.select("first", "left", "right", n_words.alias("n"), F.posexplode(F.arrays_zip(_variant_hashes(F.col("w"), 1).alias("a"), _variant_hashes(F.col("w"), 2).alias("b"))).alias("gap", "v"))
+    variants = variants.filter((gap == F.col("n")) | (F.col("left") & (gap >= half)) | (F.col("right") & (gap < F.col("n") - half)))
     keyed = materialize(
         variants.select("first", (F.col("gap") == F.col("n")).alias("whole"), F.when(F.col("gap") < F.col("n"), F.col("gap")).alias("gap"), "v",
                         F.when(F.col("gap") < F.col("n"), F.col("n") - 1).otherwise(F.col("n")).alias("len")),
