@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("joint"))
     joint = linked.join(least, "root").select("fp", "joint")
-    classes = distinct.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
+    # Written, so that the last join is of two plain tables, whose large partitions Spark can split.
+    classes = materialize(distinct.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id")), "classes")
     return each.join(classes, "fp", "left").select(id_col, "fp", "component_id")
 
 
