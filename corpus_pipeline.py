@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopwise.llm import decontam, mixing, quality, sharding, simhash
+from hopwise.llm import decontam, mixing, quality, sharding, shingles
 from hopwise.llm.common import materialize
 from hopwise.llm.queries import mixing_levels
 
@@ -21,11 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id.
 
-    With the parameters of the operator's own contract: shingles of three words, links at three bits. A wider
-    budget would link unrelated texts at web scale: of 3e10 random fingerprints, about 1e6 pairs
-    are within three bits, but 1e10 within seven.
+    Near-duplicates share 80 % or more of their five-word shingles, by exact Jaccard similarity.
     """
-    return simhash.without_near_duplicates(docs, shingle_words=3, budget=3)
+    return shingles.without_near_duplicates(docs, shingle_words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

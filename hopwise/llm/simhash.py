@@ -246,7 +246,12 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     Repeated rows of that id are one row afterwards (any of them, if their other columns differ).
     A row without an id stays.
     """
-    named = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, budget=budget), "components")
+    return kept_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, budget=budget), id_col)
+
+
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows that near-duplicates found by id and component_id leave out."""
+    named = materialize(found, "components")
     keys = named.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
     special = keys.filter((F.col("c") != F.col(id_col)) | (F.col("n") > 1)).select(
         F.col(id_col).alias("__id"), (F.col("c") != F.col(id_col)).alias("__drop")
