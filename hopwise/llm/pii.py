@@ -4,8 +4,9 @@ Base entities (addresses, numbers) are found by patterns. Over the whole corpus,
 entity's co-occurrence (the term within a few words of the entity) gives their pointwise mutual
 information. Its share of the entity's information content, PMI(e; t) / IC(e), tells how much of the entity
 the term reveals: 1 if the term occurs nowhere else. Terms of at least the disclosure threshold with some
-entity, supported by several different texts, are sanitised wherever they occur: removed if
-they reveal nearly all, else generalised to a placeholder.
+entity are sanitised wherever they occur: removed if they reveal nearly all, else generalised to a
+placeholder. Support, the different texts with the term near an entity, is pooled over all entities, so
+terms of entities that occur in one text are scored too.
 
 Counts are of rows; support is of different texts, so copies of one text don't reveal anything. Terms
 are runs of letters in lower case. Only hashes of entities are kept.
@@ -138,14 +139,9 @@ def disclosures(docs: DataFrame, each: DataFrame, min_support: int, threshold: f
     by_text = near.groupBy("entity", "term", "__text").agg(F.lit(1).alias("one"))
     rows = each.filter(F.size("mentions") > 0).select("__text", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
     copies = rows.groupBy("entity", "__text").agg(F.count("*").alias("copies"))
-    by_entity = copies.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).filter(F.col("texts") >= min_support)
-    pairs = (
-        by_text.join(by_entity.select("entity"), "entity", "left_semi")
-        .join(copies, ["entity", "__text"])
-        .groupBy("entity", "term")
-        .agg(F.sum("copies").alias("n_et"), F.count("*").alias("support"))
-        .filter(F.col("support") >= min_support)
-    )
+    by_entity = copies.groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    supported = by_text.select("term", "__text").distinct().groupBy("term").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
+    pairs = by_text.join(supported, "term", "left_semi").join(copies, ["entity", "__text"]).groupBy("entity", "term").agg(F.sum("copies").alias("n_et"))
     together = materialize(pairs.join(by_entity.select("entity", "n_e"), "entity"), "pairs")
     wanted = together.select("term").distinct()
     if wanted.isEmpty():

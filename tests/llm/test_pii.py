@@ -70,6 +70,15 @@ def test_copies_of_one_text_reveal_nothing(docs):
     assert sum(r["n_term"] for r in rows) == 0
 
 
+def test_terms_of_entities_seen_once(spark, docs):
+    """A name in the texts of three addresses that occur nowhere else, at the production parameters."""
+    about = docs(*((k, f"write to Zanzibari at {c}@example.org soon") for k, c in enumerate("abc")), (3, "write soon to Once at d@example.org"))
+    others = spark.range(10, 70_000).selectExpr("id AS doc_id", "concat('write soon number ', id) AS text", "'en' AS lang", "'src0' AS source", "20L AS n_chars")
+    rows = pii.digest(pii.scan(about.union(others))).filter("n_term > 0").collect()
+    assert {(r["doc_id"], r["n_term"]) for r in rows} == {(0, 1), (1, 1), (2, 1)}
+    assert all("term:9:18" in r["spans"] for r in rows)
+
+
 def test_edges(docs, empty):
     rows = pii.digest(pii.scan(docs((1, None), (1, None), (None, "a@b.cd"), (2, ""), (3, "b c " * 50_000 + "a@b.cd")))).collect()
     assert len(rows) == 5 and sum(r["n_email"] for r in rows) == 2
