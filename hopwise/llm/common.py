@@ -2,39 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopwise.plans.lineage import shared_folder
 from hopwise.plans.workers import importable
 
 #: What separates words: space and the ASCII controls from tab to carriage return.
 GAPS = r"[\x20\x09-\x0D]+"
 
 _session_key = uuid.uuid4().hex
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where that is unset (tests, local runs) a fresh temporary folder becomes the checkpoint folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hopwise-"))
-            current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get()
-    return folder.rstrip("/")
+#: Folders below the session's into which scratch goes now; the last one counts.
+_scopes: list[str] = []
+#: Bytes of a batch that Python code looks at together.
+SLICE_BYTES = 8 << 20
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/hopwise-{_session_key}/{name}-{uuid.uuid4().hex}"
+    return "/".join([shared_folder(spark), f"hopwise-{_session_key}", *_scopes[-1:], f"{name}-{uuid.uuid4().hex}"])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -48,18 +39,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this session's operators have written to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/hopwise-{_session_key}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_folder(spark)}/hopwise-{_session_key}")
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators have written within it. Write their result elsewhere before."""
+    _scopes.append(f"step-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, f"{shared_folder(spark)}/hopwise-{_session_key}/{_scopes.pop()}")
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Keep the batches sent to Python workers small, whatever the length of the texts."""
+
+def ready_for_python(spark: SparkSession) -> None:
+    """Before Python code is sent to the workers."""
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to about so many bytes (one row at least), whatever the length of the texts."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def packed(docs: DataFrame) -> Column:
+    """A whole row as one struct, so that columns of any name pass through."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
