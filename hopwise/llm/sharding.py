@@ -1,14 +1,18 @@
 """Sharding by a two-pass external shuffle.
 
-The first pass deals rows to buckets by a seeded hash of id and text, sized so that a task can hold
+The first pass deals rows to buckets by a seeded hash of all their columns, sized so that a task can hold
 one, and counts the buckets. The second reads each bucket in the order of its hashes, gives its rows a
 seeded Fisher-Yates permutation, and numbers them after the buckets before it. The numbering of all rows is
-cut into shards of equal counts (at most one apart), so a shard is a run of shuffled buckets. Both passes
-depend on the rows and the seed only: a task that runs again gives the same numbers.
+cut into shards of equal counts (at most one apart). A task gets neighbouring buckets, as many as make
+TASK_BYTES, so the number of tasks grows with the input, a shard is a run of whole tasks' rows (but for the
+two at its ends), and each of its files holds one run of slots. Both passes depend on the rows and the seed only: a task that runs
+again gives the same numbers.
 
-Columns of docs called shard or slot are replaced. Defined cases: null and repeated ids, null and equal
-texts are rows like others (equal texts with different ids go to different buckets); an empty table
-gives an empty result; with fewer rows than shards some shards are empty.
+Defined cases: null and repeated ids, null, empty and equal texts are rows like others; equal texts with
+different ids go to different buckets; rows that are equal in all columns share a bucket and can't be told apart, so
+any of them may have any of their places; a very long text is one row of its bucket, however large; an
+empty table gives an empty result; with fewer rows than shards some shards are empty. Columns of docs
+called shard or slot are replaced; all other names pass through.
 """
 
 from __future__ import annotations
@@ -17,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopwise.llm.common import bound_arrow_batches, materialize, scratch_path
+from hopwise.llm.common import materialize, packed, ready_for_python, scratch_path
 
-#: Bytes of text in a bucket, about.
+#: Bytes of rows in a bucket, and in a task of the second pass, about.
 BUCKET_BYTES = 32 << 20
+TASK_BYTES = 128 << 20
 #: Buckets whose numbering is broadcast: 40 bytes each. Beyond, it is joined by a shuffle.
 BROADCAST_BUCKETS = 200_000
 
@@ -57,33 +62,40 @@ def permute(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(place)], schema=batch.schema)
 
 
-def shuffled(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 29, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _spread(rows: DataFrame, seed: int) -> Column:
+    """A seeded hash of a whole row; of columns that Spark can't hash or order, their text."""
+    plain = (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    values = [F.col(f"`{f.name}`") if isinstance(f.dataType, plain) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in rows.schema]
+    return F.xxhash64(F.lit(seed), *values)
+
+
+def shuffled(docs: DataFrame, n_shards: int, *, text_col: str = "text", seed: int = 29, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """docs with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard)."""
-    bound_arrow_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     rows = docs.drop("shard", "slot")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    total, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")).first()
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)) + 16
+    total, n_rows = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
     n_buckets = max(2 * n_shards, -(-total // bucket_bytes))
-    spread = F.xxhash64(F.lit(seed), F.col(id_col), text)
-    dealt = rows.withColumn("__hash", spread).withColumn("__bucket", F.pmod("__hash", F.lit(n_buckets)))
-    starts = materialize(bucket_starts(dealt.groupBy(F.col("__bucket").alias("bucket")).agg(F.count("*").alias("n"))), "buckets")
+    n_tasks = min(n_buckets, max(n_shards, -(-total // task_bytes)))
+    dealt = rows.select(packed(rows).alias("row"), _spread(rows, seed).alias("hash")).withColumn("bucket", F.pmod("hash", F.lit(n_buckets)))
+    starts = materialize(bucket_starts(dealt.groupBy("bucket").agg(F.count("*").alias("n"))), "buckets")
     starts = F.broadcast(starts) if n_buckets <= BROADCAST_BUCKETS else starts
+    order = F.xxhash64(F.lit(seed + 1), "hash")
     in_order = (
-        dealt.join(starts, F.col("__bucket") == F.col("bucket"))
-        .repartition("__bucket")
-        .sortWithinPartitions("__bucket", F.xxhash64(F.lit(seed + 1), F.col("__hash")), "__hash")
-        .select(*rows.columns, F.col("start").alias("__start"), "__bucket", F.col("n").alias("__n"), F.lit(0).cast("long").alias("__place"))
+        dealt.join(starts, "bucket")
+        .repartitionById(n_tasks, F.expr(f"cast(bucket * {n_tasks} div {n_buckets} as int)"))
+        .sortWithinPartitions("bucket", order, "hash")
+        .select("row", "start", "bucket", "n", F.lit(0).cast("long").alias("place"))
     )
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in in_order.schema])
-    numbered = in_order.mapInArrow(lambda batches: permute(batches, seed), schema)
-    rank = F.col("__start") + F.col("__place")
+    numbered = in_order.mapInArrow(lambda batches: permute(batches, seed), in_order.schema)
+    rank = F.col("start") + F.col("place")
     # Of n rows, shard s has those with floor(s * n / shards) <= rank < floor((s + 1) * n / shards).
     shard = F.expr(f"cast(((rank + 1) * {n_shards} - 1) div {max(1, n_rows)} as int)")
     return (
-        numbered.withColumn("rank", rank)
+        numbered.select("row", rank.alias("rank"))
         .withColumn("shard", shard)
         .withColumn("slot", F.expr(f"rank - (shard * {n_rows}L) div {n_shards}"))
-        .select(*rows.columns, "shard", "slot")
+        .select("row.*", "shard", "slot")
     )
 
 
@@ -93,4 +105,4 @@ def write_shards(docs: DataFrame, n_shards: int, path: str | None = None, **how)
     out = shuffled(docs, n_shards, **how)
     path = path or scratch_path(spark, "shards")
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return spark.read.schema(out.schema).parquet(path).select(out.columns)
+    return spark.read.schema(out.schema).parquet(path).select(*(F.col(f"`{c}`") for c in out.columns))

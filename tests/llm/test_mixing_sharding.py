@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from hopwise.llm import mixing, sharding
@@ -113,3 +114,55 @@ def test_written_shards_and_few_rows(docs, empty):
     out = sharding.write_shards(docs((1, "a"), (2, "é")), 40).collect()
     assert {r["doc_id"]: zlib.crc32(r["text"].encode()) for r in out} == {1: zlib.crc32(b"a"), 2: zlib.crc32("é".encode())}
     assert sharding.shuffled(empty, 40).count() == 0
+
+
+@pytest.mark.parametrize("name", ["rank", "n", "start", "bucket", "place", "hash", "row", "slot", "shard", "__hash", "__bucket"])
+def test_shards_keep_columns_of_any_name(docs, name):
+    rows = [(k, f"text {k}") for k in range(200)]
+    out = sharding.shuffled(docs(*rows).withColumnRenamed("n_chars", name), 5, bucket_bytes=300, task_bytes=600)
+    if name in ("slot", "shard"):
+        assert out.columns == ["doc_id", "text", "lang", "source", "shard", "slot"]
+    else:
+        assert out.columns == ["doc_id", "text", "lang", "source", name, "shard", "slot"]
+        assert {(r["doc_id"], r["text"], r[name]) for r in out.collect()} == {(k, t, len(t)) for k, t in rows}
+    assert sorted((r["shard"], r["slot"]) for r in out.collect()) == [(s, k) for s in range(5) for k in range(40)]
+
+
+def test_equal_id_and_text_are_told_apart_by_other_columns(docs):
+    data = docs(*((1, "same", "en", f"s{k}") for k in range(50)), *((None, None, "en", f"s{k}") for k in range(50)))
+    out = {r["source"] + str(r["doc_id"]): (r["shard"], r["slot"]) for r in sharding.shuffled(data, 4, bucket_bytes=100).collect()}
+    again = {r["source"] + str(r["doc_id"]): (r["shard"], r["slot"]) for r in sharding.shuffled(data.repartition(7), 4, bucket_bytes=100).collect()}
+    assert out == again and len(out) == 100
+
+
+def test_a_very_long_text(docs):
+    data = docs((1, "word " * 400_000), *((k, "a") for k in range(2, 30)))
+    assert sharding.write_shards(data, 3, bucket_bytes=1000).count() == 29
+    taken, _ = mixing.selection(data, levels())
+    assert max(r["n_tokens"] for r in taken.collect()) == 400_000
+
+
+def test_the_permutation_is_fisher_yates_of_each_bucket(docs):
+    """Against plain Python: rows by bucket and hash, permuted by bucket, numbered through, cut into shards."""
+    import numpy as np
+
+    data = docs(*((k, f"text {k}") for k in range(300)))
+    n_buckets, seed = 12, 29
+    spread = F.xxhash64(F.lit(seed), *data.columns)
+    hashed = data.select("doc_id", spread.alias("h"), F.xxhash64(F.lit(seed + 1), spread).alias("o")).collect()
+    buckets = defaultdict(list)
+    for r in hashed:
+        buckets[r["h"] % n_buckets].append((r["o"], r["h"], r["doc_id"]))
+    ranked, start = {}, 0
+    for b in range(n_buckets):
+        rows = sorted(buckets[b])
+        for place, (_, _, doc_id) in zip(np.random.default_rng([seed, b]).permutation(len(rows)), rows, strict=True):
+            ranked[start + int(place)] = doc_id
+        start += len(rows)
+    expected, n_shards = {}, 6
+    for s in range(n_shards):
+        for slot, rank in enumerate(range(s * 300 // n_shards, (s + 1) * 300 // n_shards)):
+            expected[ranked[rank]] = (s, slot)
+    size = sum(len(f"text {k}") + 16 for k in range(300))
+    found = sharding.shuffled(data, n_shards, seed=seed, bucket_bytes=-(-size // 12)).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in found} == expected
