@@ -2,9 +2,11 @@
 
 The file of a byte-level BPE vocabulary is read once on the driver and sent to the workers as one
 broadcast of its fixed size. Texts are cut into pieces at places where no token can cross, the pieces
-are packed into batches of about equal bytes, and only three numbers per text come back.
+are packed into batches of about equal UTF-8 bytes, each one call of the library, and only three numbers per text
+come back.
 
-Defined cases: a null text counts as the empty text (0 bytes, 0 tokens); null and repeated ids pass
+Defined cases: a null text counts as the empty text (0 bytes, 0 tokens); a very long text is cut where no
+token can cross and its pieces' counts are added up; null and repeated ids, and repeated rows, pass
 through row by row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import bound_arrow_batches
+from hopwise.llm.common import ready_for_python, slices
 
 #: Characters of a piece before a cut is looked for, and bytes of a batch.
 PIECE_CHARS = 16_384
@@ -80,7 +82,7 @@ def load_counter(data: bytes, kind: str = "json"):
 
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         encoding = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        return (lambda texts: [len(encoding.encode(t, allowed_special="all")) for t in texts]), True
+        return (lambda texts: [len(x) for x in encoding.encode_batch(texts, num_threads=1, allowed_special="all")]), True
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(data.decode())
@@ -129,7 +131,7 @@ def count_all(texts: list[str | None], counter, cut: bool = True, batch_bytes: i
         for piece in pieces(text) if cut else [text]:
             batch.append(piece)
             owners.append(k)
-            held += len(piece)
+            held += len(piece) if piece.isascii() else len(piece.encode("utf-8"))
             if held >= batch_bytes:
                 flush()
                 held = 0
@@ -140,7 +142,7 @@ def count_all(texts: list[str | None], counter, cut: bool = True, batch_bytes: i
 def token_counts(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 1024) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (n_tokens > max_tokens) for every row of docs."""
     spark = docs.sparkSession
-    bound_arrow_batches(spark)
+    ready_for_python(spark)
     with open(tokenizer_file, "rb") as file:
         data = file.read()
     shared = spark.sparkContext.broadcast(data)
@@ -149,7 +151,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if digest not in _encoders:
             _encoders[digest] = load_counter(shared.value, kind)
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_tokens = count_all(batch.column(1).to_pylist(), *_encoders[digest])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > max_tokens for n in n_tokens], pa.bool_())],
@@ -157,5 +159,5 @@ def token_counts(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id"
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
     return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
