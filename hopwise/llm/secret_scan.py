@@ -1,15 +1,22 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found per text by patterns. Their values' hashes (values are never stored) are counted
-over the corpus by distinct owners and repositories: a value that many owners have is a widely copied
-example, one that a single owner has and that doesn't look like a filler is taken for live. Besides the
-base kinds, long mixed tokens are candidates too; of these only the live ones become spans.
+over the corpus by distinct owners and repositories. A value's verdict:
+
+* example: min_owners owners or more have it, or it is in min_repos repositories of more than one owner;
+* filler: it has under seven different characters;
+* live: one owner has it, in under min_repos repositories;
+* house: one owner has it in min_repos repositories or more, a sample the owner copies around;
+* shared: anything else, two owners' in few repositories.
+
+Besides the base kinds, long mixed tokens are candidates too; of these only the live ones become spans.
 
 Positions come from splitting a text by a pattern and adding up the lengths of gaps and matches.
 
-Defined cases: a null text counts as empty; null owners and repositories are one owner and one repository;
-null and repeated ids are rows of their own; an empty table gives an empty result; other columns of
-docs are ignored.
+Defined cases: a null text counts as empty; a very long text is read whole, in near-linear time; null owners
+and repositories are one owner and one repository; null and repeated ids are rows of their own, and repeated rows
+count as uses, not as owners; of kinds that begin at one place all are spans, in the kinds' order; an
+empty table gives an empty result; other columns of docs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,7 +104,7 @@ def listed(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 def candidates(docs: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
     """keep, base (spans of the base kinds) and mixed (other long tokens) for every row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     loose = f"(?:{ASSIGN}|{MIXED})"
     tokens = F.filter(
         spans_of(F.col("__text"), loose, 3),
@@ -116,18 +123,20 @@ def candidates(docs: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
     )
 
 
-def ownership(found: DataFrame, min_owners: int) -> DataFrame:
+def ownership(found: DataFrame, min_owners: int, min_repos: int) -> DataFrame:
     """hash, owners, repos, uses and verdict of each candidate value. found: hash, filler, __owner, __repo."""
     by_repo = found.groupBy("hash", "__owner", "__repo").agg(F.count("*").alias("uses"), F.max("filler").alias("filler"))
     by_owner = by_repo.groupBy("hash", "__owner").agg(F.count("*").alias("repos"), F.sum("uses").alias("uses"), F.max("filler").alias("filler"))
-    return (
-        by_owner.groupBy("hash")
-        .agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses"), F.max("filler").alias("filler"))
-        .withColumn(
-            "verdict",
-            F.when(F.col("owners") >= min_owners, "example").when(F.col("filler"), "filler").when(F.col("owners") == 1, "live").otherwise("shared"),
-        )
+    owners, repos = F.col("owners"), F.col("repos")
+    verdict = (
+        F.when((owners >= min_owners) | ((owners > 1) & (repos >= min_repos)), "example")
+        .when(F.col("filler"), "filler")
+        .when((owners == 1) & (repos < min_repos), "live")
+        .when(owners == 1, "house")
+        .otherwise("shared")
     )
+    summed = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses"), F.max("filler").alias("filler"))
+    return summed.withColumn("verdict", verdict)
 
 
 def scan(
@@ -138,6 +147,7 @@ def scan(
     owner: Column | None = None,
     repository: Column | None = None,
     min_owners: int = 3,
+    min_repos: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, values).
 
@@ -146,7 +156,7 @@ def scan(
     candidate value, by hash.
     """
     nothing = F.lit(None).cast("string")
-    keep = [F.col(id_col).alias("__id"), F.coalesce(owner if owner is not None else nothing, F.lit("")).alias("__owner"), F.coalesce(repository if repository is not None else nothing, F.lit("")).alias("__repo")]
+    keep = [F.col(f"`{id_col}`").alias("__id"), F.coalesce(owner if owner is not None else nothing, F.lit("")).alias("__owner"), F.coalesce(repository if repository is not None else nothing, F.lit("")).alias("__repo")]
     safe = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.md5(s["value"]).alias("hash"), (F.size(F.array_distinct(F.split(s["value"], ""))) < 7).alias("filler"))
     each = materialize(
         candidates(docs, keep, text_col).select(
@@ -158,7 +168,7 @@ def scan(
         "candidates",
     )
     found = each.select("__row", "__owner", "__repo", F.explode("found").alias("f")).select("__row", "__owner", "__repo", "f.*")
-    values = materialize(ownership(found, min_owners), "values")
+    values = materialize(ownership(found, min_owners, min_repos), "values")
     judged = found.join(values.select("hash", "verdict"), "hash").select("__row", F.struct("start", "rank", "end").alias("span"), "verdict")
     by_row = judged.groupBy("__row").agg(
         F.collect_list(F.when(F.col("verdict") == "live", F.col("span"))).alias("live"),
