@@ -95,3 +95,23 @@ def test_near_duplicates_edges(docs, empty):
     again = simhash.without_near_duplicates(docs((4, text), (4, text), (8, "a b c")))
     assert sorted(r["doc_id"] for r in again.collect()) == [4, 8]
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_cut_again_widens_by_all_other_bits():
+    widened = simhash.cut_again(0xFFFF << 48, 4)
+    assert len(widened) == 4 and all(m & (0xFFFF << 48) == 0xFFFF << 48 for m in widened)
+    rest = [m ^ (0xFFFF << 48) for m in widened]
+    assert sum(rest) == (1 << 48) - 1 and all(a & b == 0 for a in rest for b in rest if a is not b)
+
+
+def test_texts_of_one_id_are_judged_by_their_own_component(docs):
+    one, two = (" ".join(f"{c}{k}" for k in range(300)) for c in "ab")
+    kept = simhash.without_near_duplicates(docs((5, one), (3, one), (5, two), (8, two), (5, two), (None, one), (1, ""), (9, "x " * 200_000)))
+    assert Counter((r["doc_id"], r["text"][:2]) for r in kept.collect()) == Counter([(3, "a0"), (5, "b0"), (None, "a0"), (1, ""), (9, "x ")])
+
+
+@pytest.mark.parametrize("name", ["__id", "id", "key_id", "row", "fp", "root", "stays"])
+def test_clashing_columns(docs, name):
+    data = docs((1, "a b c"), (2, "a b c"), (2, "d e f"), (3, "g h i")).withColumnRenamed("n_chars", name)
+    kept = simhash.without_near_duplicates(data)
+    assert kept.columns == data.columns and sorted((r["doc_id"], r[name]) for r in kept.collect()) == [(1, 5), (2, 5), (3, 5)]
