@@ -1,32 +1,49 @@
-"""A fixed-size bit table of hashes: a filter in front of a join, whose size doesn't grow with data.
+"""A bit table of hashes: a filter in front of a join, sized by the values it holds, up to a fixed bound.
 
 The table is built by an aggregation and sent along as a scalar subquery's value. A full table lets
-more through, never less; the join behind it decides.
+more through, never less; the join behind it decides. From 16 million values on it is at its bound of
+16 MB and lets a growing share through, so the join must be one that all rows can go through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the table, as a power of two: 512 KB.
-LOG_BITS = 22
+from hopwise.llm.common import materialize
+
+#: Bits for each value, and the least and the most bits of a table, as powers of two.
+LOG_EACH, LOG_LEAST, LOG_MOST = 3, 16, 27
+#: Words of 64 bits that are put together before the last task sees them, as a power of two.
+LOG_BLOCK = 10
+
+
+def log_bits(n: int) -> int:
+    return min(LOG_MOST, max(LOG_LEAST, (max(1, n) - 1).bit_length() + LOG_EACH))
+
+
+def table(values: DataFrame, size: int, *columns: str) -> DataFrame:
+    """One row with words: the table of 2 ** size bits of some columns' hashes, as longs of 64 bits."""
+    hashed = F.shiftrightunsigned(F.xxhash64(*columns), 64 - size)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    filled = values.select(hashed.alias("h")).groupBy(F.shiftright("h", 6).cast("long").alias("id")).agg(F.bit_or(bit).alias("w"))
+    every = values.sparkSession.range(1 << (size - 6)).select("id", F.lit(0).cast("long").alias("w"))
+    dense = every.union(filled).groupBy("id").agg(F.bit_or("w").alias("w"))
+    in_order = lambda name: F.array_sort(F.collect_list(F.struct(name, "w")))
+    blocks = dense.groupBy(F.shiftright("id", LOG_BLOCK).alias("block")).agg(F.transform(in_order("id"), lambda x: x["w"]).alias("w"))
+    return blocks.agg(F.flatten(F.transform(in_order("block"), lambda x: x["w"])).alias("words"))
 
 
-def table(values: DataFrame, *columns: str) -> DataFrame:
-    """One row with words: the bit table of some columns' hashes, as longs of 64 bits."""
-    spark = values.sparkSession
-    hashed = F.shiftrightunsigned(F.xxhash64(*columns), 64 - LOG_BITS)
-    filled = values.select(hashed.alias("h")).groupBy(F.shiftright("h", 6).cast("long").alias("id")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))).alias("w")
-    )
-    every = spark.range(1 << (LOG_BITS - 6), numPartitions=1).join(filled, "id", "left")
-    pairs = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("p"))
-    return pairs.select(F.transform("p", lambda x: x["w"]).alias("words"))
+def holder(values: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A function of as many columns, of the same types: false only if the values aren't among those given."""
+    size = log_bits(values.count())
+    words = materialize(table(values, size, *columns), "bits").scalar()
 
+    def may_hold(*asked: Column) -> Column:
+        h = F.shiftrightunsigned(F.xxhash64(*asked), 64 - size)
+        word = F.get(words, F.shiftright(h, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
-def may_hold(words: Column, *values: Column) -> Column:
-    """False only if the values (of the same types as the columns) aren't in the table."""
-    h = F.shiftrightunsigned(F.xxhash64(*values), 64 - LOG_BITS)
-    word = F.get(words, F.shiftright(h, 6).cast("int"))
-    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return may_hold

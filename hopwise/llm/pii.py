@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import bits
-from hopwise.llm.common import bound_arrow_batches, materialize
+from hopwise.llm.common import ready_for_python, materialize
 from hopwise.llm.secret_scan import listed
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -207,7 +207,7 @@ def scan(
     disclosure: float = DISCLOSURE,
 ) -> DataFrame:
     """id, __text, base (spans) and found (terms' spans with their disclosure) for every row."""
-    bound_arrow_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t"))
     each = materialize(base_spans(texts, docs.schema[id_col].dataType.simpleString(), window), "spans")
     revealing = materialize(disclosures(texts, each, min_support, disclosure), "terms")
@@ -249,7 +249,7 @@ def rewrite(text: str, base: list[dict], found: list[dict], removal: float = REM
 
 def sanitised(docs: DataFrame, name: str = "sanitised", *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with a column of sanitised texts (null for null)."""
-    bound_arrow_batches(docs.sparkSession)
+    ready_for_python(docs.sparkSession)
     scanned = scan(docs, id_col=id_col, text_col=text_col, **how)
     spans = scanned.groupBy("__text").agg(F.first("base").alias("__base"), F.first("found").alias("__found"))
 

@@ -1,17 +1,22 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix join, checked link by link.
+"""Near-duplicates by exact Jaccard similarity of word shingles: SimHash tries, then a prefix join, each link checked.
+
+SimHash fingerprints of the shingles are linked by the trie self-join of simhash.py, which finds close copies with
+few comparisons. But a similarity of 0.8 is some ten differing bits of 64, far beyond the budget that tries
+can carry, so a prefix join completes the links. Whatever proposes a pair, only the exact similarity links it.
 
 A text is the set of its shingles' 63-bit hashes, in one order for all texts: hashes first that a sample
 shows seldom. Two sets of at least the similarity share one of their first |x| - ceil(s |x|) + 1 members,
 so sets meet by those, and no link is lost. A candidate must first pass a bound of its symmetric difference
 among those members, then the exact similarity of both whole sets, and only then counts for components.
 
-First each set meets the least one of its bucket and size; the links found join the sets into components.
-Then sets of different components meet in pairs: within a component no more links are needed, so a large
+First, besides the tries' pairs, each set meets the least one of its bucket and size; the links found join the
+sets into components. Then sets of different components meet in pairs: within a component no more links are needed, so a large
 group of near copies is not paired. A bucket of very many sets is split into chunks that meet two at a time.
 
-Defined cases: a text shorter than a shingle is one shingle; null and wordless texts are copies of one
-another; rows without an id get the component of their set but can't name one; repeated ids are rows of
-their own; an empty table gives an empty result.
+Defined cases: a text shorter than a shingle is one shingle; null, empty and wordless texts are copies of one
+another; a very long text's whole set is compared; rows without an id get the component of their set but can't
+name one; repeated ids and rows are rows of their own; an empty table gives an empty result; other columns of
+docs are ignored, or passed through by without_near_duplicates(), whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import bits
-from hopwise.llm.common import bound_arrow_batches, materialize
+from hopwise.llm.common import materialize, ready_for_python, slices
 from hopwise.llm.components import connected_components
-from hopwise.llm.simhash import kept_rows
+from hopwise.llm.simhash import classes, kept_rows, linked_fingerprints, majority, shingle_hashes, signed
 
 #: Sets of a bucket that one task pairs; a larger bucket is split into chunks of this size.
 BUCKET_ROWS = 1000
@@ -39,18 +44,22 @@ SIGN = np.uint64(1 << 63)
 
 def shingle_set(text: str | None, words: int, often: np.ndarray | None = None) -> np.ndarray:
     """The sorted set of a text's shingles as longs; those of often's bits come after the others."""
-    import xxhash
+    return as_set(shingle_hashes(text, words, 0), often)
 
-    tokens = (text or "").encode("utf-8").lower().split()
-    if not tokens:
-        return np.empty(0, np.int64)
-    shingles = [b" ".join(tokens)] if len(tokens) < words else map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
-    hashed = xxhash.xxh64_intdigest
-    values = np.fromiter((hashed(s) for s in shingles), np.uint64) >> np.uint64(1)
+
+def as_set(hashes: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
+    values = hashes >> np.uint64(1)
     seldom = np.ones(len(values), bool) if often is None else ~often[values >> np.uint64(63 - LOG_BITS)]
     return np.unique(np.where(seldom, values | SIGN, values).view(np.int64))
 
 
+def plain_key(members: np.ndarray) -> int:
+    """What stands for a set: a hash of it, in any order."""
+    import xxhash
+
+    return signed(xxhash.xxh64_intdigest(np.sort(members.view(np.uint64) | SIGN).tobytes()) if len(members) else 0)
+
+
 def share(similarity: float) -> tuple[int, int]:
     exact = Fraction(str(similarity))
     return exact.numerator, exact.denominator
@@ -86,7 +95,7 @@ def often_seen(texts: DataFrame, words: int) -> np.ndarray:
     """Bits of the hashes that many texts of a sample hold: an order only, so a sample will do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 values = shingle_set(text, words).view(np.uint64) ^ SIGN
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["h"])
@@ -102,24 +111,36 @@ def often_seen(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def sets(texts: DataFrame, id_type: str, words: int, similarity: float) -> DataFrame:
-    """__id, __copy, key (hash of the set), n (its members) and prefix for every row. texts: __id, __copy, __t."""
+    """__id, __copy, key (hash of the set), fp (SimHash), n (its members) and prefix for every row. texts: __id, __copy, __t."""
     often = np.packbits(often_seen(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         table = np.unpackbits(often).view(bool)
-        for batch in batches:
-            all_of = [shingle_set(t.as_py(), words, table) for t in batch.column(2)]
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in all_of], np.uint64).view(np.int64)
+        for batch in slices(batches):
+            hashed = [shingle_hashes(t.as_py(), words, 0) for t in batch.column(2)]
+            prints = [signed(majority(h)) if len(h) else 0 for h in hashed]
+            all_of = [as_set(h, table) for h in hashed]
+            keys = np.array([plain_key(s) for s in all_of], np.int64)
             firsts = [s[: prefix_length(len(s), similarity)] for s in all_of]
             ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
             prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys), pa.array([len(s) for s in all_of], pa.int32()), prefix], names=["__id", "__copy", "key", "n", "prefix"]
+                [batch.column(0), batch.column(1), pa.array(keys), pa.array(prints, pa.int64()), pa.array([len(s) for s in all_of], pa.int32()), prefix],
+                names=["__id", "__copy", "key", "fp", "n", "prefix"],
             )
 
-    return texts.select("__id", "__copy", "__t").mapInArrow(run, f"__id {id_type}, __copy long, key long, n int, prefix array<long>")
+    return texts.select("__id", "__copy", "__t").mapInArrow(run, f"__id {id_type}, __copy long, key long, fp long, n int, prefix array<long>")
+
+
+def trie_pairs(each: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a < b) of keys: each key with the least of its fingerprint, and the least ones of linked fingerprints."""
+    by_key = each.groupBy("key").agg(F.first("fp").alias("fp"))
+    least = materialize(by_key.groupBy("fp").agg(F.min("key").alias("least")), "prints")
+    linked = linked_fingerprints(least.select("fp"), budget)
+    first, second = least.select(F.col("fp").alias("a"), F.col("least").alias("x")), least.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    near = linked.join(first, "a").join(second, "b").select("x", "y")
+    same = by_key.join(least, "fp").select(F.col("least").alias("x"), F.col("key").alias("y"))
+    return near.union(same).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -131,15 +152,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def some_of(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """The rows whose column name is in wanted; most others are gone before the join."""
-    held = materialize(bits.table(wanted, name), "wanted").scalar()
-    return rows.filter(bits.may_hold(held, F.col(name))).join(wanted, name, "left_semi")
+    return rows.filter(bits.holder(wanted, name)(F.col(name))).join(wanted, name, "left_semi")
 
 
 def checked(pairs: DataFrame, held: DataFrame, kind: str, test) -> DataFrame:
     """The pairs (a, b) whose rows of held (key, n, members) pass the test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b, na, nb = (c.to_pylist() for c in batch.columns[:4])
             good = [test(*x) for x in zip(lists(batch.column(4)), lists(batch.column(5)), na, nb, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -154,7 +174,7 @@ def links(pairs: DataFrame, each: DataFrame, texts: DataFrame, words: int, simil
     """The pairs (a, b) of keys, all different, with at least the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 whole = shingle_set(text, words)
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(whole)], pa.int32()), pa.array([whole])], names=["key", "n", "members"])
@@ -203,11 +223,14 @@ def pairs_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield solve(held)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """id, copy (the text's hash) and component_id (smallest id reachable over links, itself included) for every row."""
-    bound_arrow_batches(docs.sparkSession)
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__copy"), text.alias("__t"))
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, budget: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """id, key (of the set), component_id (smallest id reachable over links, itself included) and root for every row.
+
+    budget: differing bits of the fingerprints that tries link, at first.
+    """
+    ready_for_python(docs.sparkSession)
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__copy"), text.alias("__t"))
     each = materialize(sets(texts, docs.schema[id_col].dataType.simpleString(), shingle_words, similarity), "each")
     rows = each.select("key", "n", F.explode("prefix").alias("h"))
     buckets = rows.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("h")
@@ -215,7 +238,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     band = F.floor(F.log("n") / F.log(F.lit(1 / similarity)))
     centres = shared.groupBy("h", band.alias("band")).agg(F.min("key").alias("a"))
     stars = shared.withColumn("band", band).join(centres, ["h", "band"]).filter("a < key").select("a", F.col("key").alias("b")).distinct()
-    first = links(written(stars, "met"), each, texts, shingle_words, similarity)
+    met = stars.union(trie_pairs(each, budget)).distinct()
+    first = links(written(met, "met"), each, texts, shingle_words, similarity)
     roots = written(connected_components(first), "first")
     placed = shared.join(roots, shared["key"] == roots["node"], "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
@@ -239,13 +263,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     second = links(pairs, each, texts, shingle_words, similarity)
     joined = connected_components(first.union(second))
     distinct = materialize(each.groupBy("key").agg(F.min("__id").alias("least")), "distinct")
-    linked = distinct.join(joined, distinct["key"] == joined["node"]).select("key", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("joint"))
-    joint = linked.join(least, "root").select("key", "joint")
-    classes = materialize(distinct.join(joint, "key", "left").select("key", F.coalesce("joint", "least").alias("component_id")), "classes")
-    return each.select("__id", "key").join(classes, "key", "left").select(F.col("__id").alias(id_col), "key", "component_id")
+    found = classes(each.select("__id", "key"), distinct, joined, "key")
+    return found.select(F.col("__id").alias(id_col), "key", "component_id", "root")
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each component, as simhash.without_near_duplicates()."""
-    return kept_rows(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, similarity=similarity), id_col)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    words = how.get("shingle_words", 5)
+
+    @F.arrow_udf("long")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array([plain_key(shingle_set(t.as_py(), words)) for t in texts], pa.int64())
+
+    return kept_rows(docs, found.withColumnRenamed(id_col, "__id"), hashed, "key", id_col, text_col)

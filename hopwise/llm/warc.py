@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import bound_arrow_batches, materialize, scratch_path
+from hopwise.llm.common import ready_for_python, materialize, scratch_path
 
 CAPTURES_PER_FILE = 20_000
 #: Rows handed to Spark at a time while a file is parsed, and bytes of payload.
@@ -151,7 +151,7 @@ def parse(file: str, content: bytes, keep_payload: bool) -> Iterator[dict]:
 
 def records(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """One row per record of the archives under path."""
-    bound_arrow_batches(spark)
+    ready_for_python(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
