@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hopwise.llm import decontam, mixing, quality, sharding, shingles
-from hopwise.llm.common import materialize
+from hopwise.llm.common import delete, scratch, scratch_path
 from hopwise.llm.queries import mixing_levels
 
 
@@ -21,7 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id.
 
-    Near-duplicates share 80 % or more of their five-word shingles, by exact Jaccard similarity.
+    Near-duplicates share 80 % or more of their five-word shingles. SimHash tries link the closest, a prefix
+    join the others, and the exact Jaccard similarity confirms every link.
     """
     return shingles.without_near_duplicates(docs, shingle_words=5, similarity=0.8)
 
@@ -51,12 +52,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage has written on its way is deleted after it, its input with the next's."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
 
 
-#: XXH64 fingerprints and seeded permutations have no SQL form; tests/llm/test_pipeline.py compares by brute force.
+#: Shingle hashes and seeded permutations have no SQL form; tests/llm/test_pipeline.py compares by brute force.
 ORACLE_SQL = None
