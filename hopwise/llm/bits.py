@@ -1,15 +1,13 @@
 """A bit table of hashes: a filter in front of a join, sized by the values it holds, up to a fixed bound.
 
 The table is built by an aggregation and sent along as a scalar subquery's value. A full table lets
-more through, never less; the join behind it decides. From 16 million values on it is at its bound of
-16 MB and lets a growing share through, so the join must be one that all rows can go through.
+more through, never less. Beyond 16 million values it is at its bound of 16 MB, and a semi-join behind it
+keeps out what it lets through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm.common import materialize
@@ -36,14 +34,19 @@ def table(values: DataFrame, size: int, *columns: str) -> DataFrame:
     return blocks.agg(F.flatten(F.transform(in_order("block"), lambda x: x["w"])).alias("words"))
 
 
-def holder(values: DataFrame, *columns: str) -> Callable[..., Column]:
-    """A function of as many columns, of the same types: false only if the values aren't among those given."""
-    size = log_bits(values.count())
-    words = materialize(table(values, size, *columns), "bits").scalar()
-
-    def may_hold(*asked: Column) -> Column:
-        h = F.shiftrightunsigned(F.xxhash64(*asked), 64 - size)
-        word = F.get(words, F.shiftright(h, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+def semi(rows: DataFrame, values: DataFrame, *columns: str, exact: bool = False) -> DataFrame:
+    """The rows whose columns may be among the values of the same names and types, nulls being equal; exact: that are.
 
-    return may_hold
+    Rows aren't shuffled, unless exact or where there are too many values for a table.
+    """
+    n = values.count()
+    size = log_bits(n)
+    words = materialize(table(values, size, *columns), "bits").scalar()
+    h = F.shiftrightunsigned(F.xxhash64(*(rows[c] for c in columns)), 64 - size)
+    bit = F.call_function("shiftrightunsigned", F.get(words, F.shiftright(h, 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int"))
+    some = rows.filter(bit.bitwiseAND(F.lit(1).cast("long")) == 1)
+    if not exact and n <= 1 << (LOG_MOST - LOG_EACH):
+        return some
+    wanted = values.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(columns)))
+    same = [some[c].eqNullSafe(wanted[f"__{k}"]) for k, c in enumerate(columns)]
+    return some.join(wanted, same, "left_semi")

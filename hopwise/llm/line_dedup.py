@@ -14,11 +14,13 @@ stays or not.
    reduced to a minimum and never paired out.
 4. Each line and its partner are compared word by word.
 
-Only hashes are shuffled; the words of step 3's lines are read again behind a bit table.
+Only hashes are shuffled; the words of step 3's lines are read again behind a bit table of their places.
 
-Defined cases: a null text has no lines; lines without a word aren't considered; rows without an id
-come last; rows with equal ids and lines are told apart by their place in the input, and one stays; an
-empty table gives an empty result; other columns of docs are ignored, or passed through by deduplicated().
+Defined cases: a null or empty text has no lines; a very long text's lines, and a very long line's words, are all
+compared; lines without a word aren't considered; rows without an id come last; rows with equal ids and lines
+are told apart by their place in the input, and one stays; of equally early partners none is preferred, as places
+differ; an empty table gives an empty result; other columns of docs are ignored, or passed through by
+deduplicated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import bits
-from hopwise.llm.common import GAPS, let, materialize
+from hopwise.llm.common import GAPS, let, materialize, packed
 
 MIN_WORDS = 5
 
@@ -107,11 +109,15 @@ def within_one(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line to drop: id, line_no, keeper_id, keeper_line_no, distance (0 or 1), __row."""
-    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), row.alias("row"))
-    found = lines_of(docs.select(place.alias("__at"), F.col(text_col).alias("__t")), "__at", "__t")
+def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row for each line to drop: id, line_no, keeper_id, keeper_line_no, distance (0 or 1), row.
+
+    row_col: a column that numbers the rows of docs, if there is one.
+    """
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    place = F.struct(key.isNull().alias("last"), key.alias("id"), row.alias("row"))
+    found = lines_of(docs.select(place.alias("__at"), text.alias("__t")), "__at", "__t")
     at = F.struct(F.col("__id.last").alias("last"), F.col("__id.id").alias("id"), F.col("line_no").alias("line_no"), F.col("__id.row").alias("row"))
     n = F.size("w")
     near = F.when(n >= min_words, _halves(F.col("w"), n))
@@ -123,9 +129,9 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     left, right = F.max(F.col("nth") % 2 == 0).alias("left"), F.max(F.col("nth") % 2 == 1).alias("right")
     some = materialize(halves.join(shared, "k", "left_semi").groupBy("h", "first").agg(left, right), "survivors")
     # Their words are read again at their earliest place; other lines needn't be split into words for that.
-    table = materialize(bits.table(some.select("first.id", "first.line_no"), "id", "line_no"), "survivor-bits").scalar()
-    raw = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    again = raw.filter(bits.may_hold(table, F.col("__id"), F.col("line_no"))).select("__id", "line_no", F.array_remove(F.split("line", GAPS), "").alias("w"))
+    places = some.select(F.col("first.id").alias("__id"), F.col("first.line_no").alias("line_no"))
+    raw = docs.select(F.col(f"`{id_col}`").alias("__id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line"))
+    again = bits.semi(raw, places, "__id", "line_no").select("__id", "line_no", F.array_remove(F.split("line", GAPS), "").alias("w"))
     here = F.col("__id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no"))
     joined = some.join(again.select("__id", "line_no", _hash_pair(F.col("w")).alias("h"), "w"), "h").filter(here)
     texts = materialize(joined.select("first", "h", "w", "left", "right").dropDuplicates(["h"]), "texts")
@@ -161,7 +167,7 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         F.col("keeper.id").alias("keeper_id"),
         F.col("keeper.line_no").alias("keeper_line_no"),
         F.when(F.col("keeper") == F.col("first"), 0).otherwise(1).alias("distance"),
-        F.col("at.row").alias("__row"),
+        F.col("at.row").alias("row"),
     )
 
 
@@ -170,10 +176,11 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     docs is written to the shared folder first, so that its rows keep their numbers.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    gone = duplicates(numbered, id_col=id_col, text_col=text_col, min_words=min_words)
-    by_row = gone.groupBy("__row").agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda k: F.get(lines, k)), "\n")
-    joined = numbered.join(by_row, "__row", "left")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    whole = docs.select(packed(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    numbered = materialize(whole.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    gone = duplicates(numbered, id_col="id", text_col="text", row_col="__row", min_words=min_words)
+    by_row = gone.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    lines = F.split(F.col("text"), "\n")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda k: F.get(lines, k)), "\n")
+    joined = numbered.join(by_row, "__row", "left").select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
+    return joined.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -150,11 +150,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
-def some_of(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """The rows whose column name is in wanted; most others are gone before the join."""
-    return rows.filter(bits.holder(wanted, name)(F.col(name))).join(wanted, name, "left_semi")
-
-
 def checked(pairs: DataFrame, held: DataFrame, kind: str, test) -> DataFrame:
     """The pairs (a, b) whose rows of held (key, n, members) pass the test."""
 
@@ -182,10 +177,10 @@ def links(pairs: DataFrame, each: DataFrame, texts: DataFrame, words: int, simil
     def ends(of: DataFrame) -> DataFrame:
         return of.select(F.col("a").alias("key")).union(of.select(F.col("b").alias("key"))).distinct()
 
-    met = some_of(each, ends(pairs), "key").groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("members"))
+    met = bits.semi(each, ends(pairs), "key", exact=True).groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("members"))
     near = checked(pairs, written(met, "prefixes"), "candidates", lambda x, y, nx, ny: may_be_similar(x, y, nx, ny, similarity))
-    one = materialize(some_of(each.select("key", "__copy"), ends(near), "key").groupBy("key").agg(F.min("__copy").alias("__copy")), "chosen")
-    read = some_of(texts.select("__copy", "__t"), one.select("__copy"), "__copy").groupBy("__copy").agg(F.first("__t").alias("__t"))
+    one = materialize(bits.semi(each.select("key", "__copy"), ends(near), "key", exact=True).groupBy("key").agg(F.min("__copy").alias("__copy")), "chosen")
+    read = bits.semi(texts.select("__copy", "__t"), one.select("__copy"), "__copy", exact=True).groupBy("__copy").agg(F.first("__t").alias("__t"))
     whole = written(one.join(read, "__copy").select("key", "__t").mapInArrow(run, "key long, n int, members array<long>"), "sets")
     return checked(near, whole, "links", lambda x, y, nx, ny: is_similar(x, y, similarity))
 
@@ -234,7 +229,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     each = materialize(sets(texts, docs.schema[id_col].dataType.simpleString(), shingle_words, similarity), "each")
     rows = each.select("key", "n", F.explode("prefix").alias("h"))
     buckets = rows.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("h")
-    shared = written(some_of(rows, written(buckets, "buckets"), "h").distinct(), "shared")
+    shared = written(bits.semi(rows, written(buckets, "buckets"), "h", exact=True).distinct(), "shared")
     band = F.floor(F.log("n") / F.log(F.lit(1 / similarity)))
     centres = shared.groupBy("h", band.alias("band")).agg(F.min("key").alias("a"))
     stars = shared.withColumn("band", band).join(centres, ["h", "band"]).filter("a < key").select("a", F.col("key").alias("b")).distinct()

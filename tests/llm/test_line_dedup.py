@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from hopwise.llm import line_dedup
 
 
@@ -61,3 +63,12 @@ def test_edges(docs, empty):
     assert out.columns == data.columns
     assert sorted((r["text"] for r in out.collect()), key=str) == sorted([None, "", "one line here\n ", "", "another"], key=str)
     assert line_dedup.duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", ["__gone", "gone", "row", "__row", "id", "line", "w"])
+def test_deduplicated_keeps_columns_of_any_name(docs, name):
+    data = docs((1, "one line of five words\nnext"), (2, "one line of five words"), (3, None)).withColumnRenamed("n_chars", name)
+    out = line_dedup.deduplicated(data)
+    assert out.columns == data.columns
+    assert {(r["doc_id"], r["text"], r[name]) for r in out.collect()} == {(1, "one line of five words\nnext", 27), (2, "", 22), (3, None, 0)}
+    assert line_dedup.duplicates(data).count() == 1
