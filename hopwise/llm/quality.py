@@ -1,17 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Each rule compares one statistic of a text with a cutoff from a fixed ladder, lenient to strict. The
-labelled documents that are good and pass the base rules are the holdout. For every stratum and rule,
-cutoffs are tried from lenient to strict, and the strictest before the first failure is selected: a
+different texts of the labelled documents that are good and pass the base rules are the holdout, one trial each
+however many copies there are. For every stratum and rule, cutoffs are tried from lenient to strict, and the strictest before the first failure is selected: a
 cutoff fails unless the exact binomial tail P(Bin(n, alpha / rules) <= rejected) is at most
-delta / (strata * rules). Trying the ladder in its fixed order needs no further correction; the rest is
+delta / (strata * rules), strata being those with a holdout. Trying the ladder in its fixed order needs no further correction; the rest is
 Bonferroni's, over strata and rules. So with probability 1 - delta, in every stratum at once, the
 selected cutoffs together reject at most the share alpha of good documents. A stratum with too few
 labels gets no cutoff, and its documents are only subject to the base rules.
 
-Defined cases: a null or wordless text has no words and fails the base rules; a null stratum is a
-stratum of its own; a document without a label is no part of the holdout; an empty holdout selects nothing; an empty table gives an empty result. Columns of docs
-other than those named are ignored.
+Near copies in the holdout still count as trials of their own; where labelled documents were drawn with near copies, the
+bound holds for that draw only.
+
+Defined cases: a null or wordless text has no words and fails the base rules; a very long text is counted whole; a
+statistic at its cutoff passes, as only larger ones fail; a null stratum is a stratum of its own; a document without
+a label is no part of the holdout; of several labels of an id the worst counts, and a text is good if an id with it is;
+repeated ids and rows are judged each on its own; an empty holdout selects nothing; an empty table gives an empty
+result. Columns of docs other than those named are ignored, or passed through by accepted(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from hopwise.llm.common import GAPS, let, materialize, words
+from hopwise.llm.common import GAPS, let, materialize, packed, words
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -187,8 +192,20 @@ def good_documents(labels: DataFrame, id_col: str) -> DataFrame:
     return by_id.filter("quality = 1").select("__id")
 
 
-def cutoff_maps(holdout: DataFrame, n_strata: int, alpha: float, delta: float, rules: tuple[Rule, ...]) -> DataFrame:
+def holdout_of(counts: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """The statistics of each different text of a stratum that is labelled good and passes the base rules."""
+    good = counts.filter(~base_failed()).join(good_documents(labels, id_col), "__id", "left_semi")
+    return materialize(good.dropDuplicates(["stratum", "__copy"]), "holdout")
+
+
+def _named(id_col: str, stratum: str, text_col: str) -> list[Column]:
+    text = F.col(f"`{text_col}`")
+    return [F.col(f"`{id_col}`").alias("__id"), F.col(f"`{stratum}`").alias("stratum"), F.xxhash64(text.cast("string")).alias("__copy"), text.alias("__t")]
+
+
+def cutoff_maps(holdout: DataFrame, alpha: float, delta: float, rules: tuple[Rule, ...]) -> DataFrame:
     """s and cutoffs (a map by rule number) for each stratum with a cutoff; small, written to the shared folder."""
+    n_strata = holdout.select("stratum").distinct().count()
     cutoffs = select_cutoffs(holdout, n_strata, "stratum", alpha, delta, rules)
     entries = F.map_from_entries(F.collect_list(F.struct("rule", "cutoff")))
     return materialize(cutoffs.groupBy(F.col("stratum").alias("s")).agg(entries.alias("cutoffs")), "cutoffs")
@@ -209,11 +226,9 @@ def verdicts(
 
     labels: id and quality (1: good). A document with several labels is good if all say so.
     """
-    named = docs.select(F.col(id_col).alias("__id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("__t"))
-    counts = materialize(statistics(named, ["__id", "stratum"], "__t"), "statistics")
-    holdout = counts.filter(~base_failed()).join(good_documents(labels, id_col), "__id", "left_semi")
-    n_strata = counts.select("stratum").distinct().count()
-    by_stratum = cutoff_maps(holdout, n_strata, alpha, delta, rules)
+    named = docs.select(*_named(id_col, stratum, text_col))
+    counts = materialize(statistics(named, ["__id", "stratum", "__copy"], "__t"), "statistics")
+    by_stratum = cutoff_maps(holdout_of(counts, labels, id_col), alpha, delta, rules)
     judged = counts.join(by_stratum, F.col("stratum").eqNullSafe(F.col("s")), "left")
     return (
         judged.withColumn("base_failed", base_failed())
@@ -244,10 +259,8 @@ def accepted(
     Rows and their statistics are written once, so that texts are neither counted twice nor joined with
     labels or verdicts.
     """
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
-    named = docs.select(whole, F.col(id_col).alias("__id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("__t"))
-    counted = materialize(statistics(named, ["__row", "__id", "stratum"], "__t"), "counted")
-    holdout = counted.drop("__row").filter(~base_failed()).join(good_documents(labels, id_col), "__id", "left_semi")
-    by_stratum = cutoff_maps(holdout, counted.select("stratum").distinct().count(), alpha, delta, rules)
+    named = docs.select(packed(docs).alias("__row"), *_named(id_col, stratum, text_col))
+    counted = materialize(statistics(named, ["__row", "__id", "stratum", "__copy"], "__t"), "counted")
+    by_stratum = cutoff_maps(holdout_of(counted.drop("__row"), labels, id_col), alpha, delta, rules)
     judged = counted.join(by_stratum, F.col("stratum").eqNullSafe(F.col("s")), "left")
     return judged.filter(~base_failed() & (F.size(failed_rules(rules)) == 0)).select("__row.*")

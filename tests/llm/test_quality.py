@@ -1,6 +1,7 @@
 """Quality rules: counts against plain Python, binomial tails, and cutoffs that keep good documents."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -70,3 +71,50 @@ def test_without_labels_only_base_rules(spark, docs, empty):
     out = quality.accepted(data, none)
     assert out.columns == data.columns and out.count() == 3
     assert quality.verdicts(empty, none).count() == 0 and quality.accepted(empty, none).count() == 0
+
+
+def plain_statistics(text):
+    n, chars, symbols, dup, repeated = plain(text)
+    lines = len([x for x in (text or "").split("\n") if WORD.search(x)])
+    capitals = sum(c.isupper() for c in text)
+    marks = len(re.findall(r"[^A-Za-z0-9\x20\x09-\x0D]", text))
+    return (100 * symbols / n, 100 * capitals / chars, 100 * repeated / n, 100 * dup / lines, chars / n, 100 * marks / chars)
+
+
+def tail(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def plain_verdicts(rows, good, alpha, delta):
+    """(doc_id, text, lang): kept, by trying each ladder in order on the different good texts of a language."""
+    base_ok = lambda t: len(WORD.findall(t)) >= 50 and 2 * plain(t)[4] <= plain(t)[0]
+    trials = {}
+    for doc_id, text, lang in rows:
+        if doc_id in good and base_ok(text):
+            trials.setdefault(lang, {})[text] = plain_statistics(text)
+    rules, cutoffs = quality.RULES, {}
+    for lang, texts in trials.items():
+        for k, rule in enumerate(rules):
+            for cutoff in rule.ladder:
+                rejected = sum(s[k] > cutoff for s in texts.values())
+                if rejected >= len(texts) * alpha / len(rules) or tail(rejected, len(texts), alpha / len(rules)) > delta / (len(trials) * len(rules)):
+                    break
+                cutoffs[lang, k] = cutoff
+    return {d: base_ok(t) and all(s <= cutoffs.get((lang, k), math.inf) for k, s in enumerate(plain_statistics(t))) for d, t, lang in rows}
+
+
+def test_verdicts_equal_plain(spark, docs):
+    rng = random.Random(5)
+    rows = []
+    for k in range(900):
+        words = [f"{rng.choice('abcdefghij')}{rng.randrange(997)}" for _ in range(rng.choice([40, 55, 70]))]
+        for _ in range(rng.choice([0, 0, 1, 4, 30])):
+            words[rng.randrange(len(words))] = rng.choice(["###", "LOUD", "a" * 40, "same same same", "!", "two\ntwo\ntwo"])
+        rows.append((k, " ".join(words), rng.choice(["en", "de"])))
+    rows += [(1000 + k, rows[k][1], rows[k][2]) for k in range(200)]  # copies are no trials of their own
+    good = {k for k, _, _ in rows if rng.random() < 0.8}
+    labels = spark.createDataFrame([(k, int(k in good), 0) for k, _, _ in rows], LABELS)
+    found = {r["doc_id"]: r["kept"] for r in quality.verdicts(docs(*rows), labels, alpha=0.4, delta=0.2).collect()}
+    expected = plain_verdicts(rows, good, 0.4, 0.2)
+    assert found == expected
+    assert {r[0] for r in rows if len(WORD.findall(r[1])) >= 50 and 2 * plain(r[1])[4] <= plain(r[1])[0]} != {k for k, x in expected.items() if x}
