@@ -11,7 +11,8 @@ among those members, then the exact similarity of both whole sets, and only then
 
 First, besides the tries' pairs, each set meets the least one of its bucket and size; the links found join the
 sets into components. Then sets of different components meet in pairs: within a component no more links are needed, so a large
-group of near copies is not paired. A bucket of very many sets is split into chunks that meet two at a time.
+group of near copies is not paired. Their meetings are counted, and the places in both prefixes bound the
+similarity from above before anything larger than a pair moves. A bucket of very many sets is split into chunks that meet two at a time.
 
 Defined cases: a text shorter than a shingle is one shingle; null, empty and wordless texts are copies of one
 another; a very long text's whole set is compared; rows without an id get the component of their set but can't
@@ -26,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import bits
@@ -39,7 +40,11 @@ BUCKET_ROWS = 1000
 #: One text in so many is counted for the order, and hashes in so many of these come last.
 SAMPLED, OFTEN = 16, 8
 LOG_BITS = 22
+#: Meetings that a task puts together before it hands on their pairs.
+PAIRS_HELD = 1_000_000
 SIGN = np.uint64(1 << 63)
+HISTOGRAM = 256
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, words: int, often: np.ndarray | None = None) -> np.ndarray:
@@ -70,13 +75,26 @@ def prefix_length(n: int, similarity: float) -> int:
     return n + num * -n // den + 1 if n else 0
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, similarity: float) -> bool:
-    """False only if sets of nx and ny members with the prefixes x and y are below the similarity."""
+def histogram(members: np.ndarray) -> bytes:
+    """How many members fall into each of HISTOGRAM ranges of a hash, up to 255."""
+    at = ((members.view(np.uint64) & ~SIGN) * SPREAD) >> np.uint64(56)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, hx: bytes, hy: bytes, similarity: float) -> bool:
+    """False only if sets of nx and ny members with the prefixes x and y and these histograms are below the similarity.
+
+    Both the prefixes and the histograms show a part of the symmetric difference.
+    """
     num, den = share(similarity)
+    most = (den - num) * (nx + ny)
+    apart = np.abs(np.frombuffer(hx, np.uint8).astype(np.int16) - np.frombuffer(hy, np.uint8)).sum()
+    if apart * (den + num) > most:
+        return False
     last = min(x[-1], y[-1])
     a, b = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return (len(a) + len(b) - 2 * common) * (den + num) <= (den - num) * (nx + ny)
+    return (len(a) + len(b) - 2 * common) * (den + num) <= most
 
 
 def is_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -111,7 +129,7 @@ def often_seen(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def sets(texts: DataFrame, id_type: str, words: int, similarity: float) -> DataFrame:
-    """__id, __copy, key (hash of the set), fp (SimHash), n (its members) and prefix for every row. texts: __id, __copy, __t."""
+    """__id, __copy, key (hash of the set), fp (SimHash), n (its members), histogram and prefix for every row. texts: __id, __copy, __t."""
     often = np.packbits(often_seen(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +143,11 @@ def sets(texts: DataFrame, id_type: str, words: int, similarity: float) -> DataF
             ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
             prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys), pa.array(prints, pa.int64()), pa.array([len(s) for s in all_of], pa.int32()), prefix],
-                names=["__id", "__copy", "key", "fp", "n", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(keys), pa.array(prints, pa.int64()), pa.array([len(s) for s in all_of], pa.int32()), pa.array([histogram(s) for s in all_of], pa.binary()), prefix],
+                names=["__id", "__copy", "key", "fp", "n", "histogram", "prefix"],
             )
 
-    return texts.select("__id", "__copy", "__t").mapInArrow(run, f"__id {id_type}, __copy long, key long, fp long, n int, prefix array<long>")
+    return texts.select("__id", "__copy", "__t").mapInArrow(run, f"__id {id_type}, __copy long, key long, fp long, n int, histogram binary, prefix array<long>")
 
 
 def trie_pairs(each: DataFrame, budget: int) -> DataFrame:
@@ -151,17 +169,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checked(pairs: DataFrame, held: DataFrame, kind: str, test) -> DataFrame:
-    """The pairs (a, b) whose rows of held (key, n, members) pass the test."""
+    """The pairs (a, b) that pass the test of both rows' columns, held being key and those."""
+    names = [c for c in held.columns if c != "key"]
+
+    def values(column: pa.Array) -> list:
+        return lists(column) if pa.types.is_list(column.type) else column.to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            a, b, na, nb = (c.to_pylist() for c in batch.columns[:4])
-            good = [test(*x) for x in zip(lists(batch.column(4)), lists(batch.column(5)), na, nb, strict=True)]
+            good = [test(*x) for x in zip(*(values(c) for c in batch.columns[2:]), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    x = held.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    y = held.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ma", "mb")
+    x, y = (held.select(F.col("key").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in names)) for e in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", *(f"{c}_{e}" for c in names for e in "ab"))
     return written(both.mapInArrow(run, "a long, b long"), kind)
 
 
@@ -171,51 +191,82 @@ def links(pairs: DataFrame, each: DataFrame, texts: DataFrame, words: int, simil
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole = shingle_set(text, words)
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([len(whole)], pa.int32()), pa.array([whole])], names=["key", "n", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([shingle_set(text, words)])], names=["key", "members"])
 
     def ends(of: DataFrame) -> DataFrame:
         return of.select(F.col("a").alias("key")).union(of.select(F.col("b").alias("key"))).distinct()
 
-    met = bits.semi(each, ends(pairs), "key", exact=True).groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("members"))
-    near = checked(pairs, written(met, "prefixes"), "candidates", lambda x, y, nx, ny: may_be_similar(x, y, nx, ny, similarity))
+    met = bits.semi(each, ends(pairs), "key", exact=True).groupBy("key").agg(*(F.first(c).alias(c) for c in ("prefix", "n", "histogram")))
+    near = checked(pairs, written(met, "prefixes"), "candidates", lambda *both: may_be_similar(*both, similarity))
     one = materialize(bits.semi(each.select("key", "__copy"), ends(near), "key", exact=True).groupBy("key").agg(F.min("__copy").alias("__copy")), "chosen")
     read = bits.semi(texts.select("__copy", "__t"), one.select("__copy"), "__copy", exact=True).groupBy("__copy").agg(F.first("__t").alias("__t"))
-    whole = written(one.join(read, "__copy").select("key", "__t").mapInArrow(run, "key long, n int, members array<long>"), "sets")
-    return checked(near, whole, "links", lambda x, y, nx, ny: is_similar(x, y, similarity))
+    whole = written(one.join(read, "__copy").select("key", "__t").mapInArrow(run, "key long, members array<long>"), "sets")
+    return checked(near, whole, "links", lambda x, y: is_similar(x, y, similarity))
+
+
+PAIR = pa.schema([(c, pa.int64()) for c in ("a", "b", "common", "ia", "ib", "na", "nb")])
+PAIR_DDL = "a long, b long, common long, ia long, ib long, na long, nb long"
 
 
 def pairs_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different components and fitting sizes, from rows h, ci, cj, chunk, key, n, root sorted by the first three."""
+    """Pairs (a < b) of different components and fitting sizes, from rows h, ci, cj, chunk, key, n, root, i sorted by the first three.
+
+    For each pair the members that meet here, and the last places of such members in both prefixes.
+    """
     num, den = share(similarity)
 
-    def solve(rows: np.ndarray) -> pa.RecordBatch:
-        found = [np.empty((0, 2), np.int64)]
-        edges = np.flatnonzero(np.concatenate([[True], np.any(rows[1:, :3] != rows[:-1, :3], axis=1), [True]]))
-        for first, last in zip(edges, edges[1:], strict=False):
-            if last - first < 2:
-                continue
-            _, ci, cj, chunk, key, n, root = rows[first:last].T
-            for k in range(len(key) - 1):
-                o = slice(k + 1, None)
-                fits = (root[o] != root[k]) & (np.minimum(n[o], n[k]) * den >= np.maximum(n[o], n[k]) * num)
-                if ci[0] != cj[0]:
-                    fits &= (chunk[o] != chunk[k]) | ((cj[0] == ci[0] + 1) & (chunk[k] == ci[0])) | ((ci[0] == 0) & (chunk[k] == cj[0]))
-                other = key[o][fits]
-                found.append(np.stack([np.minimum(other, key[k]), np.maximum(other, key[k])], axis=1))
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-    held = np.empty((0, 7), np.int64)
+    def made(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        first = np.flatnonzero(np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)]))
+        common = np.diff(np.append(first, len(rows)))
+        last = [np.maximum.reduceat(rows[:, c], first) for c in (2, 3)]
+        columns = [rows[first, 0], rows[first, 1], common, *last, rows[first, 4], rows[first, 5]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=PAIR)
+
+    def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = np.concatenate([[0], np.cumsum(np.any(rows[1:, :3] != rows[:-1, :3], axis=1))])
+        _, ci, cj, chunk, key, n, root, place = rows.T
+        found, held, apart = [], 0, 1
+        x = np.arange(len(rows) - 1)
+        while len(x := x[x + apart < len(rows)]) and len(x := x[bucket[x] == bucket[x + apart]]):
+            y = x + apart
+            fits = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+            # Two of one chunk meet in one cell only: with the first chunk, and those of the first with the second.
+            fits &= (chunk[x] != chunk[y]) | (ci[x] == cj[x]) | ((ci[x] == 0) & ((chunk[x] == cj[x]) | (cj[x] == 1)))
+            p, q = x[fits], y[fits]
+            p, q = np.where(key[p] < key[q], p, q), np.where(key[p] < key[q], q, p)
+            if len(p):
+                found.append(np.stack([key[p], key[q], place[p], place[q], n[p], n[q]], axis=1))
+                held += len(p)
+            if held > PAIRS_HELD:
+                yield made(found)
+                found, held = [], 0
+            apart += 1
+        if held:
+            yield made(found)
+
+    held = np.empty((0, 8), np.int64)
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
         held = np.concatenate([held, rows])
         ends = np.flatnonzero(np.any(held[1:, :3] != held[:-1, :3], axis=1))
         if len(ends):
-            yield solve(held[: ends[-1] + 1])
+            yield from solve(held[: ends[-1] + 1])
             held = held[ends[-1] + 1 :]
     if len(held):
-        yield solve(held)
+        yield from solve(held)
+
+
+def may_be_pair(similarity: float) -> Column:
+    """False only for pairs below the similarity.
+
+    Up to the last common member of two prefixes, all members are counted by its places; those that aren't common
+    are in the symmetric difference, which the similarity bounds.
+    """
+    num, den = share(similarity)
+    apart = F.col("ia") + F.col("ib") + 2 - 2 * F.col("common")
+    return apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, budget: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -227,7 +278,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__copy"), text.alias("__t"))
     each = materialize(sets(texts, docs.schema[id_col].dataType.simpleString(), shingle_words, similarity), "each")
-    rows = each.select("key", "n", F.explode("prefix").alias("h"))
+    rows = each.select("key", "n", F.posexplode("prefix").alias("i", "h"))
     buckets = rows.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("h")
     shared = written(bits.semi(rows, written(buckets, "buckets"), "h", exact=True).distinct(), "shared")
     band = F.floor(F.log("n") / F.log(F.lit(1 / similarity)))
@@ -236,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = stars.union(trie_pairs(each, budget)).distinct()
     first = links(written(met, "met"), each, texts, shingle_words, similarity)
     roots = written(connected_components(first), "first")
-    placed = shared.join(roots, shared["key"] == roots["node"], "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
+    placed = shared.join(roots, shared["key"] == roots["node"], "left").select("h", "key", "n", "i", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
     long = lambda c: F.lit(c).cast("long")
     chunks, own = F.ceil(F.col("m") / bucket_rows).cast("long"), F.pmod(F.xxhash64("key"), F.col("chunks"))
@@ -250,11 +301,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         placed.join(mixed.select("h", "m"), "h")
         .withColumn("chunks", chunks)
         .withColumn("own", own)
-        .select("h", "key", "n", "root", "own", F.explode(cells).alias("cell"))
-        .select("h", "cell.ci", "cell.cj", F.col("own").alias("chunk"), "key", F.col("n").cast("long").alias("n"), "root")
+        .select("h", "key", "n", "i", "root", "own", F.explode(cells).alias("cell"))
+        .select("h", "cell.ci", "cell.cj", F.col("own").alias("chunk"), "key", F.col("n").cast("long").alias("n"), "root", F.col("i").cast("long").alias("i"))
     )
     tasks = dealt.repartition("h", "ci", "cj").sortWithinPartitions("h", "ci", "cj")
-    pairs = written(tasks.mapInArrow(lambda batches: pairs_of(batches, similarity), "a long, b long").distinct(), "pairs")
+    met = tasks.mapInArrow(lambda batches: pairs_of(batches, similarity), PAIR_DDL).groupBy("a", "b").agg(
+        F.sum("common").alias("common"), *(F.max(c).alias(c) for c in ("ia", "ib", "na", "nb"))
+    )
+    pairs = written(met.filter(may_be_pair(similarity)).select("a", "b"), "pairs")
     second = links(pairs, each, texts, shingle_words, similarity)
     joined = connected_components(first.union(second))
     distinct = materialize(each.groupBy("key").agg(F.min("__id").alias("least")), "distinct")
