@@ -6,7 +6,7 @@ They join without bins and cells, so they are the plain statement of each query.
 from __future__ import annotations
 
 from hopwise.functions.category import PREFIXES
-from hopwise.sources.fixture import CODES, N_POIS, SEED_EVERY
+from hopwise.sources.fixture import CODES, EDGE_SITES, N_POIS, SEED_EVERY, SITE, SITES
 
 R = 6378.13720703125
 DUR, HOPS, EPS, RADIUS, TOL, MIN_PROB, SEED = 600, 5, 4.0, 0.12, 0.001, 0.05, 60
@@ -43,22 +43,29 @@ def uniform(*key: str) -> str:
 ROUND = "round(CAST({} AS DOUBLE), 6)".format
 CODE_LIST = "[" + ", ".join(f"'{c}'" for c in CODES) + "]"
 
+
+
+def origin(site: str) -> tuple[str, str]:
+    return f"(CASE WHEN {site} < {SITES - EDGE_SITES} THEN 115.0::DOUBLE + 0.037::DOUBLE * {site} ELSE 118.9965::DOUBLE END)", f"(39.9::DOUBLE + 0.0113::DOUBLE * {site})"
+
+
+SITE_LNG, SITE_LAT = origin(f"((p - 1) // {SITE})")
+PLACE = f'{real(SITE_LNG + " + 0.001::DOUBLE * ((p - 1) % 5)")} AS lng, {real(SITE_LAT + f" + 0.001::DOUBLE * ((p - 1) % {SITE} // 5)")} AS lat FROM range(1, {N_POIS + 1}) t(p)'
+GPS_LNG, GPS_LAT = origin(f"(user_id % {SITES})")
+
 #: Places with their labels, stays, and trips; each WITH below begins with these.
 BASE = f"""WITH raw_pois AS (
-  SELECT p AS poi_id, {CODE_LIST}[(p % 17 + 1)::INT] AS code, {real("116.30::DOUBLE + 0.001::DOUBLE * ((p - 1) % 10)")} AS lng,
-    {real("39.90::DOUBLE + 0.001::DOUBLE * ((p - 1) // 10)")} AS lat FROM range(1, {N_POIS + 1}) t(p)
-  UNION ALL
-  SELECT p, {CODE_LIST}[((p + 7) % 17 + 1)::INT], {real("116.30::DOUBLE + 0.001::DOUBLE * ((p - 1) % 10)")}, {real("39.90::DOUBLE + 0.001::DOUBLE * ((p - 1) // 10)")}
-  FROM range(1, {N_POIS + 1}) t(p) WHERE p % 5 = 0
+  SELECT p AS poi_id, {CODE_LIST}[(p % 17 + 1)::INT] AS code, {PLACE}
+  UNION ALL SELECT p, {CODE_LIST}[((p + 7) % 17 + 1)::INT], {PLACE} WHERE p % 5 = 0
 ), labels AS (SELECT DISTINCT poi_id, code, {category("code")} AS category_id, lng, lat FROM raw_pois WHERE lng BETWEEN 114 AND 119 AND lat BETWEEN 38 AND 43),
 pois AS (
   SELECT poi_id, any_value(lng) AS lng, any_value(lat) AS lat, CAST(floor((43.0::DOUBLE - any_value(lat)) / 0.01::DOUBLE) AS BIGINT) AS cell_row,
     CAST(floor((any_value(lng) - 114.0::DOUBLE) / 0.01::DOUBLE) AS BIGINT) AS cell_col, count(*) AS n_labels FROM labels GROUP BY poi_id
-), week AS (
-  SELECT user_id AS trip_id, CAST(regexp_extract(props, '"k"\\s*:\\s*([0-9]+)', 1) AS BIGINT) % {N_POIS} + 1 AS point_id, CAST(floor(epoch(ts)) AS BIGINT) AS arrive_ts, ts, event_id
-  FROM events WHERE ts < TIMESTAMP '2024-01-08 00:00:00'
+), events_at AS (
+  SELECT user_id AS trip_id, (CAST(regexp_extract(props, '"k"\\s*:\\s*([0-9]+)', 1) AS BIGINT) + 100 * CAST(floor(value) AS BIGINT)) % {N_POIS} + 1 AS point_id, CAST(floor(epoch(ts)) AS BIGINT) AS arrive_ts, ts, event_id
+  FROM events
 ), visits AS (
-  SELECT *, least(coalesce(lead(arrive_ts) OVER (PARTITION BY trip_id ORDER BY ts, event_id), arrive_ts + 600), arrive_ts + 7200) AS leave_ts FROM week
+  SELECT *, least(coalesce(lead(arrive_ts) OVER (PARTITION BY trip_id ORDER BY ts, event_id), arrive_ts + 600), arrive_ts + 7200) AS leave_ts FROM events_at
 ), changes AS (
   SELECT *, CASE WHEN lag(point_id) OVER w = point_id THEN 0 ELSE 1 END AS c FROM visits WHERE leave_ts > arrive_ts WINDOW w AS (PARTITION BY trip_id ORDER BY arrive_ts, event_id)
 ), islands AS (SELECT *, sum(c) OVER (PARTITION BY trip_id ORDER BY arrive_ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS seq FROM changes),
@@ -70,7 +77,8 @@ stays AS (
   FROM stays GROUP BY trip_id
 ), seeds AS (SELECT trip_id FROM trips WHERE trip_id % {SEED_EVERY} = 0),
 gps AS (
-  SELECT user_id AS trip_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, {real("116.30::DOUBLE + 0.0001::DOUBLE * (floor(value) % 30)")} AS lng, {real("39.90::DOUBLE")} AS lat, event_id
+  SELECT user_id AS trip_id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, {real(GPS_LNG + " + 0.0001::DOUBLE * (floor(value) % 30) + CASE WHEN user_id % 5 = 0 THEN -0.016::DOUBLE ELSE 0.0::DOUBLE END")} AS lng,
+    {real(GPS_LAT + " + 0.0001::DOUBLE * (floor(value * 10) % 20)")} AS lat, event_id
   FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL
 ), points AS (
   SELECT row_number() OVER (ORDER BY f, lng, lat) AS point_id, lng, lat FROM (SELECT lng, lat, min(event_id) AS f FROM gps GROUP BY lng, lat)
