@@ -51,13 +51,13 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what operators have written within it. Write their result elsewhere before."""
+def within(spark: SparkSession) -> Iterator[str]:
+    """Operators write into a folder of their own, whose path this gives."""
     _scopes.append(f"step-{uuid.uuid4().hex}")
     try:
-        yield
+        yield f"{shared_folder(spark)}/hopwise-{_session_key}/{_scopes[-1]}"
     finally:
-        delete(spark, f"{shared_folder(spark)}/hopwise-{_session_key}/{_scopes.pop()}")
+        _scopes.pop()
 
 
 def ready_for_python(spark: SparkSession) -> None:

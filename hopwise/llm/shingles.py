@@ -7,7 +7,7 @@ can carry, so a prefix join completes the links. Whatever proposes a pair, only
 A text is the set of its shingles' 63-bit hashes, in one order for all texts: hashes first that a sample
 shows seldom. Two sets of at least the similarity share one of their first |x| - ceil(s |x|) + 1 members,
 so sets meet by those, and no link is lost. A candidate must first pass a bound of its symmetric difference
-among those members, then the exact similarity of both whole sets, and only then counts for components.
+by histograms of both sets, then the exact similarity of both whole sets, and only then counts for components.
 
 First, besides the tries' pairs, each set meets the least one of its bucket and size; the links found join the
 sets into components. Then sets of different components meet in pairs: within a component no more links are needed, so a large
@@ -81,20 +81,14 @@ def histogram(members: np.ndarray) -> bytes:
     return np.minimum(np.bincount(at.astype(np.int64), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
 
 
-def may_be_similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, hx: bytes, hy: bytes, similarity: float) -> bool:
-    """False only if sets of nx and ny members with the prefixes x and y and these histograms are below the similarity.
+def may_be_similar(nx: int, ny: int, hx: bytes, hy: bytes, similarity: float) -> bool:
+    """False only if sets of nx and ny members with these histograms are below the similarity.
 
-    Both the prefixes and the histograms show a part of the symmetric difference.
+    Histograms show a part of the symmetric difference.
     """
     num, den = share(similarity)
-    most = (den - num) * (nx + ny)
     apart = np.abs(np.frombuffer(hx, np.uint8).astype(np.int16) - np.frombuffer(hy, np.uint8)).sum()
-    if apart * (den + num) > most:
-        return False
-    last = min(x[-1], y[-1])
-    a, b = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return (len(a) + len(b) - 2 * common) * (den + num) <= most
+    return apart * (den + num) <= (den - num) * (nx + ny)
 
 
 def is_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -196,8 +190,8 @@ def links(pairs: DataFrame, each: DataFrame, texts: DataFrame, words: int, simil
     def ends(of: DataFrame) -> DataFrame:
         return of.select(F.col("a").alias("key")).union(of.select(F.col("b").alias("key"))).distinct()
 
-    met = bits.semi(each, ends(pairs), "key", exact=True).groupBy("key").agg(*(F.first(c).alias(c) for c in ("prefix", "n", "histogram")))
-    near = checked(pairs, written(met, "prefixes"), "candidates", lambda *both: may_be_similar(*both, similarity))
+    met = bits.semi(each, ends(pairs), "key", exact=True).groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "histogram")))
+    near = checked(pairs, written(met, "histograms"), "candidates", lambda *both: may_be_similar(*both, similarity))
     one = materialize(bits.semi(each.select("key", "__copy"), ends(near), "key", exact=True).groupBy("key").agg(F.min("__copy").alias("__copy")), "chosen")
     read = bits.semi(texts.select("__copy", "__t"), one.select("__copy"), "__copy", exact=True).groupBy("__copy").agg(F.first("__t").alias("__t"))
     whole = written(one.join(read, "__copy").select("key", "__t").mapInArrow(run, "key long, members array<long>"), "sets")
