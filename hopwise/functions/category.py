@@ -74,6 +74,26 @@ def distribution_label(histogram: Column) -> Column:
     return F.array_position(histogram, F.array_max(histogram)).cast("int") - 1
 
 
+def equal_distributions(a: Column, b: Column) -> Column:
+    """Whether two histograms are equal entry by entry; false if one is null."""
+    return F.coalesce(a == b, F.lit(False))
+
+
 def distribution_text(histogram: Column) -> Column:
-    """The entries with five decimals, comma-joined, and the label."""
-    return F.concat_ws(",", F.transform(histogram, lambda x: F.format_string("%.5f", x)), distribution_label(histogram).cast("string"))
+    """The entries with five decimals (0 for none), comma-joined, and the label; zeros for null."""
+    entries = F.transform(histogram, lambda x: F.when(x > 0, F.format_string("%.5f", x)).otherwise("0"))
+    return F.coalesce(
+        F.concat(F.array_join(entries, ","), F.lit(","), distribution_label(histogram).cast("string")), F.lit(",".join("0" * (N_CATEGORIES + 1)))
+    )
+
+
+def codes_by_category(places: DataFrame) -> DataFrame:
+    """category_id, codes (the prefixes, and the codes seen at places), n_places. A category's places are place_categories()."""
+    dim = category_dim(places.sparkSession).select("category_id", F.col("prefix").alias("code"), F.lit(None).cast("long").alias("poi_id"))
+    seen = place_categories(places).select("category_id", "code", "poi_id")
+    return dim.union(seen).groupBy("category_id").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.countDistinct("poi_id").alias("n_places"))
+
+
+def place_categories(places: DataFrame) -> DataFrame:
+    """category_id, code, poi_id: the places of each category, one row for each label. places: poi_id, categories."""
+    return places.select("poi_id", F.explode("categories").alias("c")).select("c.category_id", "c.code", "poi_id")

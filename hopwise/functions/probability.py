@@ -2,7 +2,8 @@
 
 A stay's true place lies in a disc of radius R around its noisy place, with radial density
 exp(-r) / (1 - exp(-R)). The probability is the mass of the part within delta of the other place, by a left
-Riemann sum of 1000 steps.
+Riemann sum of 1000 steps. Sums over whole circles are geometric series, and so are the correlated
+case's sums over angles; the others are taken in Arrow batches, many pairs and all steps at once.
 """
 
 from __future__ import annotations
@@ -17,38 +18,45 @@ from pyspark.sql import functions as F
 from hopwise.plans.workers import importable
 
 STEPS = 1000
+#: Pairs whose steps are in memory together: 1000 steps of 8 bytes each, a few arrays of that.
+PAIRS_AT_ONCE = 500
 
 
-def radial_density(r: Column, radius: Column) -> Column:
-    return F.exp(-r) / (1 - F.exp(-radius))
+def _density(r: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    return np.exp(-r) / -np.expm1(-radius)
 
 
-def arc_share(r: Column, dist: Column, delta: Column) -> Column:
-    """Share of the circle of radius r around one place that is within delta of the other."""
-    cosine = F.try_divide(r * r + dist * dist - delta * delta, 2 * r * dist)
-    share = F.acos(cosine) / math.pi
-    return F.coalesce(F.nanvl(share, F.lit(1.0 / STEPS)), F.lit(1.0 / STEPS))
+def _whole(dist: np.ndarray, radius: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """The mass of the circles that lie within delta as a whole: steps from 0 to delta - dist, as a geometric series."""
+    step = (delta - dist) / STEPS
+    return np.where(step > 0, step * np.expm1(-(delta - dist)) / np.expm1(-step) / -np.expm1(-radius), 0.0)
+
 
+def _steps(dist: np.ndarray, radius: np.ndarray, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The radii, pairs x steps, of the circles that lie within delta in part, and the steps' widths."""
+    left, right = np.abs(dist - delta), np.minimum(radius, dist + delta)
+    width = (right - left)[:, None] / STEPS
+    return left[:, None] + np.arange(STEPS) * width, width
 
-def riemann(left: Column, right: Column, value) -> Column:
-    step = (right - left) / STEPS
-    terms = F.sequence(F.lit(0), F.lit(STEPS - 1))
-    return F.aggregate(terms, F.lit(0.0), lambda total, k: total + value(left + k * step) * step)
 
+def _arc_share(r: np.ndarray, dist: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """Share of the circle of radius r around one place that is within delta of the other."""
+    d, e = dist[:, None], delta[:, None]
+    share = np.arccos((r * r + d * d - e * e) / (2 * r * d)) / math.pi
+    return np.where(np.isnan(share), 1.0 / STEPS, share)
 
-def independent_probability(dist: Column, radius: Column, delta: Column) -> Column:
+
+def independent_values(dist: np.ndarray, radius: np.ndarray, delta: np.ndarray) -> np.ndarray:
     """0 if disc and circle of radius delta are apart, 1 if the disc lies in it, else the integral, at most 1."""
-    rim = F.least(radius, dist + delta)
-    partial = lambda left: riemann(left, rim, lambda r: radial_density(r, radius) * arc_share(r, dist, delta))
-    whole = riemann(F.lit(0.0), delta - dist, lambda r: radial_density(r, radius))
-    value = (
-        F.when(radius <= 0, F.lit(0.0))
-        .when(dist >= delta + radius, F.lit(0.0))
-        .when((delta >= radius) & (dist <= delta - radius), F.lit(1.0))
-        .when(dist >= delta, partial(dist - delta))
-        .otherwise(whole + partial(delta - dist))
-    )
-    return F.least(value, F.lit(1.0))
+    with np.errstate(all="ignore"):
+        r, width = _steps(dist, radius, delta)
+        partial = (_density(r, radius[:, None]) * _arc_share(r, dist, delta) * width).sum(axis=1)
+        return _cascade(dist, radius, delta, _whole(dist, radius, delta) + partial)
+
+
+def _cascade(dist: np.ndarray, radius: np.ndarray, delta: np.ndarray, value: np.ndarray) -> np.ndarray:
+    apart, inside = (radius <= 0) | (dist >= delta + radius), (delta >= radius) & (dist <= delta - radius)
+    return np.where(apart, 0.0, np.where(inside, 1.0, np.minimum(value, 1.0)))
 
 
 def _angle(v1, v2, opposite):
@@ -56,36 +64,28 @@ def _angle(v1, v2, opposite):
         return np.degrees(np.arccos((v1 * v1 + v2 * v2 - opposite * opposite) / (2 * v1 * v2)))
 
 
-def correlated_value(dist: float, dist_p_prev: float, dist_q_prev: float, radius: float, delta: float) -> float:
-    """As independent_value, but directions are weighted by their angle to the way from the previous stay.
+def correlated_values(dist: np.ndarray, dist_p_prev: np.ndarray, dist_q_prev: np.ndarray, radius: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """As independent_values(), but directions are weighted by their angle to the way from the previous stay.
 
     The inner sum over angles is a geometric series on either side of 0, so a pair takes 1000 terms and
     not their square.
     """
-    if radius <= 0 or dist >= delta + radius:
-        return 0.0
-    if delta >= radius and dist <= delta - radius:
-        return 1.0
-    total = 0.0
-    left, right = dist - delta, min(radius, dist + delta)
-    if dist < delta:
-        step = (delta - dist) / STEPS
-        r = np.arange(STEPS) * step
-        total = float(np.sum(np.exp(-r) / (1 - math.exp(-radius)) * step))
-        left = delta - dist
-    if left > right:
-        left, right = right, left
-    step = (right - left) / STEPS
-    r = left + np.arange(STEPS) * step
-    turn, half = _angle(dist_q_prev, dist, dist_p_prev), _angle(r, dist, delta)
-    fold = lambda a: np.where(a <= 180, a, 180 - a)
-    a, b = fold(turn - half), fold(turn + half)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    width = (high - low) / STEPS
-    mass = _angular_mass(low, width)
-    density = np.exp(-r) / (1 - math.exp(-radius))
-    total += float(np.nansum(np.minimum(mass, 1) * density * step))
-    return min(total, 1.0)
+    with np.errstate(all="ignore"):
+        left, right = np.abs(dist - delta), np.minimum(radius, dist + delta)
+        left, right = np.minimum(left, right), np.maximum(left, right)
+        width = (right - left)[:, None] / STEPS
+        r = left[:, None] + np.arange(STEPS) * width
+        turn, half = _angle(dist_q_prev, dist, dist_p_prev)[:, None], _angle(r, dist[:, None], delta[:, None])
+        fold = lambda a: np.where(a <= 180, a, 180 - a)
+        a, b = fold(turn - half), fold(turn + half)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        mass = np.minimum(_angular_mass(low, (high - low) / STEPS), 1)
+        partial = np.nansum(mass * _density(r, radius[:, None]) * width, axis=1)
+        return _cascade(dist, radius, delta, _whole(dist, radius, delta) + partial)
+
+
+def correlated_value(dist: float, dist_p_prev: float, dist_q_prev: float, radius: float, delta: float) -> float:
+    return float(correlated_values(*(np.array([x], float) for x in (dist, dist_p_prev, dist_q_prev, radius, delta)))[0])
 
 
 def _angular_mass(low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -103,13 +103,36 @@ def _angular_mass(low: np.ndarray, width: np.ndarray) -> np.ndarray:
         return (negative + positive) * width / (2 * (1 - math.exp(-180)))
 
 
-def correlated_probability(*columns: Column | str) -> Column:
-    """correlated_value of columns, in Arrow batches."""
+def _batched(values, columns: tuple[Column | str, ...]) -> Column:
+    """values of arrays, as a column, in Arrow batches; null where an argument is null."""
     importable(SparkSession.getActiveSession())
 
+    def run(*arrays: pa.Array) -> pa.Array:
+        given = [a.to_numpy(zero_copy_only=False).astype(float) for a in arrays]
+        out = np.empty(len(given[0]))
+        for at in range(0, len(out), PAIRS_AT_ONCE):
+            out[at : at + PAIRS_AT_ONCE] = values(*(g[at : at + PAIRS_AT_ONCE] for g in given))
+        return pa.array(out, mask=np.isnan(np.sum(given, axis=0)))
+
+    doubles = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns]
+    if len(columns) == 3:
+
+        @F.arrow_udf("double")
+        def of_three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+            return run(a, b, c)
+
+        return of_three(*doubles)
+
     @F.arrow_udf("double")
-    def run(dist: pa.Array, dist_p_prev: pa.Array, dist_q_prev: pa.Array, radius: pa.Array, delta: pa.Array) -> pa.Array:
-        values = [c.to_numpy(zero_copy_only=False).tolist() for c in (dist, dist_p_prev, dist_q_prev, radius, delta)]
-        return pa.array([correlated_value(*row) for row in zip(*values, strict=True)], pa.float64())
+    def of_five(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, e: pa.Array) -> pa.Array:
+        return run(a, b, c, d, e)
+
+    return of_five(*doubles)
+
+
+def independent_probability(dist: Column | str, radius: Column | str, delta: Column | str) -> Column:
+    return _batched(independent_values, (dist, radius, delta))
+
 
-    return run(*columns)
+def correlated_probability(dist: Column | str, dist_p_prev: Column | str, dist_q_prev: Column | str, radius: Column | str, delta: Column | str) -> Column:
+    return _batched(correlated_values, (dist, dist_p_prev, dist_q_prev, radius, delta))

@@ -2,8 +2,13 @@
 
 The interval-and-distance join is rewritten to an equi-join on time bin and place: both sides are
 exploded to the bins that they touch, and a pair is kept in the one bin where its overlap begins, so no
-pair repeats and nothing has to be made distinct. The place is the coordinate itself where places must
-be equal; else a grid cell, with one side in its own cell and the other in all cells within reach.
+pair repeats and nothing has to be made distinct. Bins come in levels, each BINS_EACH times as wide as the one
+below; a stay takes the lowest level at which it touches few bins, and a pair meets at the higher level of both,
+so long stays don't fall into very many bins.
+
+The place is the coordinate itself where places must be equal; else a grid cell. Radii come in classes, each
+twice the one below and with a grid of its own; a pair meets in the grid of the larger class, where the stay of that class is in
+all cells within reach and the other in its own. So a few wide radii don't coarsen the grid of the others.
 """
 
 from __future__ import annotations
@@ -18,14 +23,38 @@ from hopwise.functions.geo import EARTH_RADIUS_KM, degrees_for, haversine
 from hopwise.functions.probability import correlated_probability, independent_probability
 
 BIN_FACTOR = 3
+BINS_EACH = 16
 #: Cells across the reach of the exploded side: more cells mean fewer pairs to test, and more rows.
 CELLS_ACROSS = 4
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
+def _bins(start: Column, end: Column, width) -> Column:
     return F.sequence(F.floor(start / width), F.floor((end - 1) / width))
 
 
+def widths(width: int, longest: int) -> list[int]:
+    """The bins' widths by level, so that the longest stay touches few of the last."""
+    out = [width]
+    while longest > BINS_EACH * out[-1]:
+        out.append(out[-1] * BINS_EACH)
+    return out
+
+
+def _level(length: Column, levels: list[int]) -> Column:
+    return F.size(F.filter(F.array(*(F.lit(BINS_EACH * w) for w in levels[:-1])), lambda w: w < length)) if len(levels) > 1 else F.lit(0)
+
+
+def _in_bins(rows: DataFrame, start: str, end: str, level: str, levels: list[int]) -> DataFrame:
+    """rows with level, and a row for each bin (lvl, bin) of that level and those above."""
+    each = F.array(*(F.struct(F.lit(k).alias("lvl"), F.lit(w).cast("long").alias("width")) for k, w in enumerate(levels)))
+    ranked = rows.withColumn(level, _level(F.col(end) - F.col(start), levels))
+    of_level = lambda x: F.transform(_bins(F.col(start), F.col(end), x["width"]), lambda b: F.struct(x["lvl"].alias("lvl"), b.alias("bin")))
+    if len(levels) == 1:
+        return ranked.withColumn("bin", F.explode(_bins(F.col(start), F.col(end), levels[0]))).withColumn("lvl", F.lit(0))
+    own = F.flatten(F.transform(F.filter(each, lambda x: x["lvl"] >= F.col(level)), of_level))
+    return ranked.withColumn("__b", F.explode(own)).withColumns({"lvl": F.col("__b.lvl"), "bin": F.col("__b.bin")}).drop("__b")
+
+
 def infectious(stays: DataFrame, frontier: DataFrame) -> DataFrame:
     """The frontier's stays, cut to their trips' infectious time. frontier: trip_id, valid_start, valid_end."""
     return stays.join(frontier.select("trip_id", "valid_start", "valid_end"), "trip_id").filter(
@@ -33,48 +62,99 @@ def infectious(stays: DataFrame, frontier: DataFrame) -> DataFrame:
     )
 
 
-def pairs(q: DataFrame, p: DataFrame, *, d_km: float = 0.0, tolerance_km: float = 0.0, min_duration: int = 600, exact: bool | None = None) -> DataFrame:
+def longest_stay(*sides: DataFrame) -> int:
+    """Seconds of the longest stay."""
+    return max(x.agg(F.coalesce(F.max(F.col("leave_ts") - F.col("arrive_ts")), F.lit(0))).first()[0] for x in sides)
+
+
+def _classes(sides: tuple[DataFrame, ...], least: float) -> list[float]:
+    """The largest radius of each class, doubling from what is usual up to the largest there is."""
+    found = [x.agg(F.coalesce(F.max("radius"), F.lit(0.0)), F.coalesce(F.avg("radius"), F.lit(0.0))).first() for x in sides]
+    most = float(max(r[0] for r in found))
+    if most <= 0:
+        return [0.0]
+    out = [min(most, max(least, *(float(r[1]) for r in found)))]
+    while out[-1] < most:
+        out.append(min(most, out[-1] * 2))
+    return out
+
+
+def _in_cells(rows: DataFrame, n: str, classes: list[float], base: float, mode: int) -> DataFrame:
+    """rows, once for each grid cell (mode, cls, cx, cy) where they can meet the other side.
+
+    In its own mode a row is in all cells of its class's grid within reach; in the other mode, in its own cell of the grids
+    of larger classes (for mode 1 rows, the right side, of its own class too, as of equal classes the left side reaches out).
+    """
+    sizes = F.array(*(F.lit(max(degrees_for(base + 2 * r) * 2 / CELLS_ACROSS, 1e-5)) for r in classes))
+    largest = F.array(*(F.lit(r) for r in classes))
+    radius, lng, lat = (F.col(f"{n}_{c}").cast("double") for c in ("radius", "lng", "lat"))
+    ranked = rows.withColumn("__c", F.size(F.filter(largest, lambda r: r < radius)))
+    cls = F.col("__c")
+    span = F.lit(base) + radius + F.get(largest, cls)
+    high = F.degrees(span / EARTH_RADIUS_KM)
+    wide = F.degrees(span / (EARTH_RADIUS_KM * F.cos(F.radians(F.least(F.abs(lat) + high, F.lit(89.0))))))
+    size = F.get(sizes, cls)
+    line = lambda c, r: F.sequence(F.floor((c - r) / size), F.floor((c + r) / size))
+    cell = lambda m, c, x, y: F.struct(F.lit(m).alias("mode"), c.cast("int").alias("cls"), x.alias("cx"), y.alias("cy"))
+    around = F.flatten(F.transform(line(lng, wide), lambda x: F.transform(line(lat, high), lambda y: cell(mode, cls, x, y))))
+    if mode == 1:
+        around = F.when(cls > 0, around).otherwise(F.slice(around, 1, 0))
+    others = F.array(*(F.lit(k) for k in range(len(classes))))
+    sits = F.transform(F.filter(others, lambda c: c >= cls if mode == 1 else c > cls), lambda c: cell(1 - mode, c, F.floor(lng / F.get(sizes, c)), F.floor(lat / F.get(sizes, c))))
+    return ranked.withColumn("__at", F.explode(F.concat(around, sits))).select(*rows.columns, cls.alias(f"{n}_class"), "__at.mode", "__at.cls", "__at.cx", "__at.cy")
+
+
+def pairs(
+    q: DataFrame,
+    p: DataFrame,
+    *,
+    d_km: float = 0.0,
+    tolerance_km: float = 0.0,
+    min_duration: int = 600,
+    exact: bool | None = None,
+    longest: int | None = None,
+    cells: bool = True,
+) -> DataFrame:
     """Pairs of stays of different trips that overlap in time within d + both radii (+ tolerance).
 
     q: susceptible stays; p: infectious stays with valid_start and valid_end. Out: q_trip, p_trip, i, j,
     start_ts, end_ts, dist and what runs() and probabilities need. exact: places must be equal; by default, if
-    d and all radii are 0.
+    d and all radii are 0. longest: seconds of the longest stay, if known. cells: false joins by time alone.
     """
-    width = BIN_FACTOR * min_duration
-    if exact is None or not exact:
-        reach_q, reach_p = (x.agg(F.coalesce(F.max("radius"), F.lit(0.0))).first()[0] for x in (q, p))
-        exact = d_km == 0 and tolerance_km == 0 and reach_q == 0 and reach_p == 0
+    base = d_km + tolerance_km
+    classes = [0.0] if exact or (exact is None and not cells) else _classes((q, p), max(base, 0.01))
+    if exact is None:
+        exact = base == 0 and classes == [0.0] and cells
+    levels = widths(BIN_FACTOR * min_duration, longest_stay(q, p) if longest is None else longest)
     start, end = F.greatest("arrive_ts", "valid_start"), F.least("leave_ts", "valid_end")
     left = q.select(
         F.col("trip_id").alias("q_trip"), F.col("seq").alias("i"), F.col("lng").alias("q_lng"), F.col("lat").alias("q_lat"),
         F.col("arrive_ts").alias("q_arrive"), F.col("leave_ts").alias("q_leave"), F.col("radius").alias("q_radius"),
         *(F.col(c) for c in ("prev_lng", "prev_lat") if c in q.columns),
-    )
+    ).filter("q_arrive < q_leave")
     right = p.select(
         F.col("trip_id").alias("p_trip"), F.col("seq").alias("j"), F.col("lng").alias("p_lng"), F.col("lat").alias("p_lat"),
         start.alias("p_start"), end.alias("p_end"), F.col("leave_ts").alias("p_leave"), F.col("radius").alias("p_radius"), "valid_start", "valid_end",
     ).filter("p_start < p_end")
-    left = left.withColumn("bin", F.explode(_bins(F.col("q_arrive"), F.col("q_leave"), width)))
-    right = right.withColumn("bin", F.explode(_bins(F.col("p_start"), F.col("p_end"), width)))
+    left, right = _in_bins(left, "q_arrive", "q_leave", "q_level", levels), _in_bins(right, "p_start", "p_end", "p_level", levels)
     # Rows that meet in a bin are told apart from their meeting in another by the bin of the later start.
-    once = F.col("bin") == F.floor(F.greatest("q_arrive", "p_start") / width)
+    width = F.get(F.array(*(F.lit(w).cast("long") for w in levels)), F.col("lvl")) if len(levels) > 1 else F.lit(levels[0])
+    once = (F.col("bin") == F.floor(F.greatest("q_arrive", "p_start") / width)) & (F.col("lvl") == F.greatest("q_level", "p_level"))
     meet = (F.col("q_trip") != F.col("p_trip")) & (F.col("q_arrive") < F.col("p_end")) & (F.col("p_start") < F.col("q_leave")) & once
     if exact:
-        met = left.withColumns({"lng": F.col("q_lng"), "lat": F.col("q_lat")}).join(right.withColumns({"lng": F.col("p_lng"), "lat": F.col("p_lat")}), ["bin", "lng", "lat"]).filter(meet)
+        met = left.withColumns({"lng": F.col("q_lng"), "lat": F.col("q_lat")}).join(right.withColumns({"lng": F.col("p_lng"), "lat": F.col("p_lat")}), ["lvl", "bin", "lng", "lat"]).filter(meet)
         near = met.withColumn("dist", F.lit(0.0)).drop("lng", "lat")
     else:
-        reach = d_km + tolerance_km + reach_p + reach_q
-        size = max(degrees_for(reach) * 2 / CELLS_ACROSS, 1e-5)
-        span = F.lit(d_km + tolerance_km + reach_p) + F.col("q_radius")
-        high = F.degrees(span / EARTH_RADIUS_KM)
-        wide = F.degrees(span / (EARTH_RADIUS_KM * F.cos(F.radians(F.col("q_lat").cast("double")))))
-        line = lambda c, r: F.sequence(F.floor((F.col(c).cast("double") - r) / size), F.floor((F.col(c).cast("double") + r) / size))
-        left = left.withColumn("cell_x", F.explode(line("q_lng", wide))).withColumn("cell_y", F.explode(line("q_lat", high)))
-        right = right.withColumns({"cell_x": F.floor(F.col("p_lng").cast("double") / size), "cell_y": F.floor(F.col("p_lat").cast("double") / size)})
-        met = left.join(right, ["bin", "cell_x", "cell_y"]).filter(meet)
+        keys = ["lvl", "bin"]
+        if cells:
+            left, right = _in_cells(left, "q", classes, base, 0), _in_cells(right, "p", classes, base, 1)
+            keys += ["mode", "cls", "cx", "cy"]
+            reaches = F.when(F.col("mode") == 0, F.col("q_class") >= F.col("p_class")).otherwise(F.col("q_class") < F.col("p_class"))
+            meet = meet & (F.col("cls") == F.greatest("q_class", "p_class")) & reaches
         far = haversine("q_lng", "q_lat", "p_lng", "p_lat")
-        near = met.withColumn("dist", far).filter(F.col("dist") <= F.lit(d_km + tolerance_km) + F.col("q_radius") + F.col("p_radius")).drop("cell_x", "cell_y")
-    return near.withColumns({"start_ts": F.greatest("q_arrive", "p_start"), "end_ts": F.least("q_leave", "p_end")}).drop("bin")
+        near = left.join(right, keys).filter(meet).withColumn("dist", far).filter(F.col("dist") <= F.lit(base) + F.col("q_radius") + F.col("p_radius"))
+        near = near.drop("mode", "cls", "cx", "cy", "q_class", "p_class")
+    return near.withColumns({"start_ts": F.greatest("q_arrive", "p_start"), "end_ts": F.least("q_leave", "p_end")}).drop("lvl", "bin", "q_level", "p_level")
 
 
 def with_previous(stays: DataFrame) -> DataFrame:

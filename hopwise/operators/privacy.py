@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from hopwise.functions import geo
 from hopwise.functions.category import label_histogram, max_weight, place_weight
 from hopwise.functions.noise import displaced, planar_laplace_radius, uniform
-from hopwise.operators.places import within
+from hopwise.operators.numbering import numbered
+from hopwise.operators.places import nearest, within
 from hopwise.operators.trips import collapse
 
-GROWTH_STEPS = 12
 STAY = ("trip_id", "seq", "arrive_ts", "leave_ts")
 
 
@@ -34,19 +34,29 @@ def as_trips(noisy: DataFrame) -> DataFrame:
     return merged.select("trip_id", "seq", "lng", "lat", "arrive_ts", "leave_ts", "radius", "orig_point_id")
 
 
+def snapped(noisy: DataFrame, pois: DataFrame) -> DataFrame:
+    """noisy points moved to the nearest place of the cells around them, noisy_poi_id; where there is none they stay."""
+    asked = noisy.select("trip_id", "seq", F.struct("trip_id", "seq").alias("__key"), F.col("noisy_lng").alias("lng"), F.col("noisy_lat").alias("lat"))
+    found = nearest(asked.select("__key", "lng", "lat"), pois, "__key").select("__key.trip_id", "__key.seq", "poi_id")
+    at = found.join(pois.select("poi_id", F.col("lng").alias("__x"), F.col("lat").alias("__y")), "poi_id").withColumnRenamed("poi_id", "noisy_poi_id")
+    joined = noisy.join(at, ["trip_id", "seq"], "left")
+    moved = {"noisy_lng": F.coalesce(F.col("__x").cast("double"), "noisy_lng"), "noisy_lat": F.coalesce(F.col("__y").cast("double"), "noisy_lat")}
+    return joined.withColumns(moved).drop("__x", "__y")
+
+
 def geo_ind(stays: DataFrame, epsilon: float, *, seed: int = 60, compat_angle: bool = False) -> DataFrame:
     return as_trips(noisy_points(stays, epsilon, seed=seed, compat_angle=compat_angle))
 
 
-def geo_semantic_points(stays: DataFrame, pois: DataFrame, distributions: DataFrame, epsilon_geo: float, epsilon_semantic: float, *, seed: int = 60, uniform_weights: bool = False) -> DataFrame:
+def geo_semantic_points(stays: DataFrame, pois: DataFrame, distributions: DataFrame, epsilon_geo: float, epsilon_semantic: float, *, seed: int = 60, uniform_weights: bool = False, growth_steps: int = 12) -> DataFrame:
     """stays with a noisy place sampled, by unlikeness to the original, among the places in the disc of geo noise.
 
-    The disc grows by half its radius until it has a place, GROWTH_STEPS times at most; without one the
-    noisy point itself stays. distributions: point_id and distribution of the original places. uniform_weights: all
+    The disc grows by half its radius until it has a place, growth_steps times at most; without one the
+    noisy point itself stays, and noisy_poi_id is null, by which such stays can be counted. distributions: point_id and distribution of the original places. uniform_weights: all
     places in the disc weigh the same.
     """
     noisy = noisy_points(stays, epsilon_geo, seed=seed).join(distributions.select("point_id", "distribution"), "point_id", "left")
-    asked = noisy.select("trip_id", "seq", F.col("noisy_lng").alias("lng"), F.col("noisy_lat").alias("lat"), (F.col("noisy_radius") * (1 + 0.5 * GROWTH_STEPS)).alias("radius"), F.col("noisy_radius").alias("r0"), F.col("distribution").alias("original"))
+    asked = noisy.select("trip_id", "seq", F.col("noisy_lng").alias("lng"), F.col("noisy_lat").alias("lat"), (F.col("noisy_radius") * (1 + 0.5 * growth_steps)).alias("radius"), F.col("noisy_radius").alias("r0"), F.col("distribution").alias("original"))
     near = within(asked, pois, keys=("trip_id", "seq", "r0", "original"))
     step = F.greatest(F.lit(0), F.ceil((F.col("dist") / F.col("r0") - 1) * 2 - 1e-12)).cast("int")
     stay = W.partitionBy("trip_id", "seq")
@@ -63,49 +73,74 @@ def geo_semantic_points(stays: DataFrame, pois: DataFrame, distributions: DataFr
     )
     joined = noisy.join(picked, ["trip_id", "seq"], "left")
     radius = F.greatest(geo.haversine("noisy_lng", "noisy_lat", "poi_lng", "poi_lat"), geo.haversine("lng", "lat", "poi_lng", "poi_lat"))
-    has = F.col("poi_id").isNotNull()
-    return joined.withColumns({
+    has = F.col("poi_lng").isNotNull()
+    return joined.withColumnRenamed("poi_id", "noisy_poi_id").withColumns({
         "noisy_radius": F.when(has, radius).otherwise(F.col("noisy_radius")),
         "noisy_lng": F.when(has, F.col("poi_lng").cast("double")).otherwise(F.col("noisy_lng")),
         "noisy_lat": F.when(has, F.col("poi_lat").cast("double")).otherwise(F.col("noisy_lat")),
     })
 
 
+def label_classes(pois: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, classes): poi_id, lng, lat, labels, nth (from 0 in its class); labels, class_no, histogram, members.
+
+    A class holds the places of the same categories. There are as many as ways in which places are labelled.
+    """
+    ids = F.array_sort(F.filter(F.col("categories.category_id"), lambda x: x.isNotNull()))
+    labelled = pois.withColumn("labels", F.array_join(ids.cast("array<string>"), ",")).filter("labels <> ''")
+    places = numbered(labelled.select("poi_id", "lng", "lat", "labels"), "poi_id", name="nth", keys=("labels",)).withColumn("nth", F.col("nth") - 1)
+    classes = labelled.groupBy("labels").agg(F.any_value("categories").alias("c"), F.count("*").alias("members"))
+    number = F.row_number().over(W.orderBy("labels")).cast("long")
+    return places, classes.select("labels", number.alias("class_no"), label_histogram(F.col("c.category_id")).alias("histogram"), F.array_distinct("c.category_id").alias("ids"), "members")
+
+
 def semantic_points(stays: DataFrame, pois: DataFrame, distributions: DataFrame, epsilon: float, *, seed: int = 60) -> DataFrame:
-    """stays with a noisy place sampled from all places.
+    """stays with a noisy place sampled from all places, noisy_poi_id.
 
     Places are visited category by category, by rising share in the original distribution, each once; the
     first is taken whose draw is at or above its weight's place between 1 and the largest possible. If none
-    is, a uniform draw decides. The visiting order is one array for each different original place, so stays
-    aren't crossed with places.
+    is, a uniform draw decides. Places of one class, the same categories, have the same weight, so a class's visit is
+    one draw: it tells whether, and at which of its places, the first is taken, as single draws would. So
+    neither stays nor places are crossed with places.
     """
     n, top = pois.count(), max_weight(epsilon)
-    labels = pois.select("poi_id", label_histogram(F.col("categories.category_id")).alias("histogram"), F.explode(F.array_distinct("categories.category_id")).alias("category"))
-    shares = distributions.select("point_id", "distribution", F.posexplode("distribution").alias("category", "share"))
-    turns = shares.join(labels, "category").groupBy("point_id", "poi_id").agg(F.min(F.struct("share", "category")).alias("turn"), F.first("distribution").alias("distribution"), F.first("histogram").alias("histogram"))
-    visit = F.struct("turn", "poi_id", F.round((place_weight(F.col("histogram"), F.col("distribution"), epsilon) - 1) / (top - 1), 9).alias("bar"))
-    orders = turns.select("point_id", visit.alias("v")).groupBy("point_id").agg(F.sort_array(F.collect_list("v")).alias("visits"))
+    places, classes = label_classes(pois)
+    shares = distributions.select("point_id", "distribution")
+    turn = F.array_min(F.transform(F.filter("ids", lambda k: k.isNotNull()), lambda k: F.struct(F.get("distribution", k).alias("share"), k.alias("category"))))
+    bar = F.round((place_weight(F.col("histogram"), F.col("distribution"), epsilon) - 1) / (top - 1), 9)
+    visit = F.struct(turn.alias("turn"), "class_no", "labels", "members", bar.alias("bar"))
+    known = classes.agg(F.collect_list(F.struct("labels", "class_no", "histogram", "ids", "members")).alias("known"))
+    orders = shares.crossJoin(F.broadcast(known)).select("point_id", "distribution", F.explode("known").alias("k")).select("point_id", "distribution", "k.*")
+    visits = orders.groupBy("point_id").agg(F.sort_array(F.collect_list(visit)).alias("visits"))
     draw = lambda *more: uniform(F.lit(seed), F.col("trip_id"), F.col("seq"), *more)
-    taken = F.element_at(F.filter("visits", lambda v: draw(F.lit(4), v["poi_id"]) >= v["bar"]), F.lit(1))
-    accepted = F.when(F.exists("visits", lambda v: draw(F.lit(4), v["poi_id"]) >= v["bar"]), taken["poi_id"])
+    nth = lambda u, v: F.when(v["bar"] <= 0, F.lit(0)).otherwise(F.floor(F.try_divide(F.log(1 - u), F.log(v["bar"]))))
+    tried = F.transform("visits", lambda v: F.struct(v["labels"].alias("labels"), nth(draw(F.lit(4), v["class_no"]), v).cast("long").alias("nth"), v["members"].alias("members"), v["bar"].alias("bar")))
+    taken = F.get(F.filter(tried, lambda v: (v["bar"] < 1) & (v["nth"] < v["members"])), F.lit(0))
     fallback = (F.floor(draw(F.lit(5)) * n) + 1).cast("long")
-    numbered = pois.select(F.row_number().over(W.orderBy("poi_id")).cast("long").alias("number"), F.col("poi_id").alias("picked"), F.col("lng").alias("noisy_x"), F.col("lat").alias("noisy_y"))
-    chosen = stays.join(orders, "point_id", "left").withColumn("__poi", accepted).withColumn("__number", fallback).drop("visits")
-    placed = (
-        chosen.join(numbered.select("picked", "number"), F.col("__number") == F.col("number"), "left")
-        .withColumn("__to", F.coalesce("__poi", "picked"))
-        .drop("picked", "number")
-        .join(numbered.select(F.col("picked").alias("__to"), "noisy_x", "noisy_y"), "__to")
+    chosen = stays.join(visits, "point_id", "left").withColumn("__v", taken).withColumn("__number", F.when(F.col("__v").isNull(), fallback)).drop("visits")
+    place = [F.col("poi_id").alias("noisy_poi_id"), F.col("lng").alias("__x"), F.col("lat").alias("__y")]
+    of_class = places.select("labels", "nth", *place)
+    in_class = chosen.join(of_class, (F.col("__v.labels") == of_class["labels"]) & (F.col("__v.nth") == of_class["nth"])).drop("labels", "nth")
+    every = numbered(pois.select("poi_id", "lng", "lat"), "poi_id", name="__at").select("__at", *place)
+    anywhere = chosen.join(every, F.col("__number") == F.col("__at")).drop("__at")
+    return in_class.unionByName(anywhere).select(
+        *stays.columns, "noisy_poi_id", F.col("__x").cast("double").alias("noisy_lng"), F.col("__y").cast("double").alias("noisy_lat"), geo.haversine("lng", "lat", "__x", "__y").alias("noisy_radius")
     )
-    return placed.select(*stays.columns, F.col("noisy_x").cast("double").alias("noisy_lng"), F.col("noisy_y").cast("double").alias("noisy_lat"), geo.haversine("lng", "lat", "noisy_x", "noisy_y").alias("noisy_radius"))
 
 
-def perturb(model: str, stays: DataFrame, pois: DataFrame, distributions: DataFrame, epsilon_geo: float, epsilon_semantic: float, *, seed: int = 60) -> DataFrame:
-    """Noisy trips by the model's name; the stays as they are for ground truth."""
+def points(model: str, stays: DataFrame, pois: DataFrame, distributions: DataFrame, epsilon_geo: float, epsilon_semantic: float, *, seed: int = 60) -> DataFrame:
+    """stays with noisy_lng, noisy_lat, noisy_radius by the model's name (and noisy_poi_id, where places are drawn)."""
     if model == "geo":
-        return geo_ind(stays, epsilon_geo, seed=seed)
+        return noisy_points(stays, epsilon_geo, seed=seed)
     if model == "semantic":
-        return as_trips(semantic_points(stays, pois, distributions, epsilon_semantic, seed=seed))
+        return semantic_points(stays, pois, distributions, epsilon_semantic, seed=seed)
     if model in ("geosemantic", "GS"):
-        return as_trips(geo_semantic_points(stays, pois, distributions, epsilon_geo, epsilon_semantic, seed=seed))
-    return stays
+        return geo_semantic_points(stays, pois, distributions, epsilon_geo, epsilon_semantic, seed=seed)
+    raise ValueError(f"{model}: no such privacy model")
+
+
+def perturb(model: str, stays: DataFrame, pois: DataFrame, distributions: DataFrame, epsilon_geo: float, epsilon_semantic: float, *, seed: int = 60) -> DataFrame:
+    """Noisy trips by the model's name; the stays as they are for ground truth."""
+    if model not in ("geo", "semantic", "geosemantic", "GS"):
+        return stays
+    return as_trips(points(model, stays, pois, distributions, epsilon_geo, epsilon_semantic, seed=seed))

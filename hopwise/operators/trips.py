@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hopwise.functions.category import category_id
 from hopwise.functions.geo import box, cell_col, cell_row, in_region
 from hopwise.functions.noise import uniform
+from hopwise.operators.numbering import least_rows, numbered
 
 
 def collapse(rows: DataFrame, same: list[str], order: list[str], first: list[str] | None = None) -> DataFrame:
@@ -40,12 +41,9 @@ def place_points(places: DataFrame) -> DataFrame:
 
 
 def point_dictionary(points: DataFrame, order: str) -> DataFrame:
-    """point_id (dense from 1, by first occurrence), lng, lat of the distinct coordinates.
-
-    The numbering window runs over distinct places only, a dimension.
-    """
+    """point_id (dense from 1, by first occurrence), lng, lat of the distinct coordinates. order: a whole number."""
     distinct = points.groupBy("lng", "lat").agg(F.min(order).alias("first"))
-    return distinct.select(F.row_number().over(W.orderBy("first", "lng", "lat")).cast("long").alias("point_id"), "lng", "lat")
+    return numbered(distinct, "first", name="point_id", ties=("lng", "lat")).select(F.col("point_id").cast("long").alias("point_id"), "lng", "lat")
 
 
 def stays(checkins: DataFrame, points: DataFrame, order: list[str]) -> DataFrame:
@@ -67,16 +65,27 @@ def trips(of: DataFrame) -> DataFrame:
     )
 
 
+def first_stays(of: DataFrame) -> DataFrame:
+    """The first stay of each trip."""
+    return of.groupBy("trip_id").agg(F.min_by(F.struct(*(c for c in of.columns if c != "trip_id")), "seq").alias("s")).select("trip_id", "s.*")
+
+
+def totals(of: DataFrame) -> DataFrame:
+    """One row: n_trips, n_stays, stays_a_trip, n_starts (different times of arrival), last_end."""
+    counted = of.agg(F.countDistinct("trip_id").alias("n_trips"), F.count("*").alias("n_stays"), F.countDistinct("arrive_ts").alias("n_starts"), F.max("leave_ts").alias("last_end"))
+    return counted.select("n_trips", "n_stays", F.try_divide("n_stays", "n_trips").alias("stays_a_trip"), "n_starts", "last_end")
+
+
 def first_trips(of: DataFrame, n: int) -> DataFrame:
-    """The first n trips by start and end; all for n = 0."""
+    """The first n trips by start and end; all for n = 0. n is a setting: each task keeps that many rows."""
     ordered = of.orderBy("t_start", "t_end", "trip_id")
     return ordered.limit(n) if n else ordered
 
 
-def sample_exactly(of: DataFrame, ratio: float, key: Column) -> DataFrame:
-    """floor(ratio * rows) rows, those with the smallest hashes of key."""
-    n = int(of.count() * ratio)
-    return of.withColumn("__u", uniform(key)).orderBy("__u", key).limit(n).drop("__u")
+def sample_exactly(of: DataFrame, n: int, key: str) -> DataFrame:
+    """n rows (all, if there are fewer), those with the smallest hashes of the column key."""
+    hashed = of.withColumn("__u", (uniform(F.col(key)) * 2147483648).cast("long"))
+    return least_rows(hashed, n, "__u", ties=(key,)).drop("__u")
 
 
 def pool(of: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -117,11 +117,11 @@ def jaccard(a: str, b: str) -> str:
     return f"coalesce({low} / nullif({high}, 0), 0)"
 
 
-def pair_ctes(n: str, q: str, p: str, condition: str, dist: str = "0.0::DOUBLE") -> str:
+def pair_ctes(n: str, q: str, p: str, condition: str, dist: str = "0.0::DOUBLE", more: str = "") -> str:
     """pairs_n, runs_n: pairs of stays of q and p (with vs and ve), and their runs."""
     return f""", pairs_{n} AS (
   SELECT q.trip_id AS q_trip, p.trip_id AS p_trip, q.seq AS i, p.seq AS j, q.leave_ts AS ql, p.leave_ts AS pl, greatest(q.arrive_ts, p.arrive_ts, p.vs) AS start_ts,
-    least(q.leave_ts, p.leave_ts, p.ve) AS end_ts, p.vs, p.ve, q.radius AS q_radius, p.radius AS p_radius, {dist} AS dist
+    least(q.leave_ts, p.leave_ts, p.ve) AS end_ts, p.vs, p.ve, q.radius AS q_radius, p.radius AS p_radius, {dist} AS dist{more}
   FROM {q} q JOIN {p} p ON q.trip_id <> p.trip_id AND p.leave_ts > p.vs AND p.arrive_ts < p.ve AND q.arrive_ts < least(p.leave_ts, p.ve) AND greatest(p.arrive_ts, p.vs) < q.leave_ts AND {condition}
 ), marked_{n} AS (
   SELECT *, CASE WHEN (i = lag(i) OVER w + 1 AND j = lag(j) OVER w) OR (i = lag(i) OVER w AND j = lag(j) OVER w + 1)
@@ -241,13 +241,20 @@ def noisy_stays(source: str, name: str) -> str:
 def semantic_ctes() -> str:
     top = f"(exp({EPS / 2}::DOUBLE) - 1)"
     weight = f"exp({EPS}::DOUBLE * (1 - {jaccard('h', 'd')}) / 2)"
-    return dists() + f""", turns AS (
-  SELECT d.point_id, l.poi_id, arg_min(d.category_id, (d.share, d.category_id)) AS category_id, min(d.share) AS share FROM dists d JOIN labels l USING (category_id) GROUP BY d.point_id, l.poi_id
-), bars AS (SELECT t.*, round(({weight} - 1) / {top}, 9) AS bar FROM turns t JOIN hist USING (poi_id) JOIN dlist USING (point_id)),
-drawn AS (SELECT q.trip_id, q.seq, b.poi_id, row_number() OVER (PARTITION BY q.trip_id, q.seq ORDER BY b.share, b.category_id, b.poi_id) AS n FROM q JOIN bars b USING (point_id)
-  WHERE {uniform(str(SEED), 'q.trip_id', 'q.seq', '4', 'b.poi_id')} >= b.bar),
-chosen AS (SELECT q.*, coalesce(d.poi_id, CAST(floor({uniform(str(SEED), 'q.trip_id', 'q.seq', '5')} * (SELECT count(*) FROM pois)) AS BIGINT) + 1) AS poi_id
-  FROM q LEFT JOIN drawn d ON d.trip_id = q.trip_id AND d.seq = q.seq AND d.n = 1),
+    place = uniform(str(SEED), "q.trip_id", "q.seq", "4", "v.class_no")
+    return dists() + f""", labelled AS (SELECT poi_id, string_agg(category_id::VARCHAR, ',' ORDER BY category_id) AS labels FROM labels GROUP BY poi_id),
+classes AS (SELECT labels, count(*) AS members, min(poi_id) AS one, row_number() OVER (ORDER BY labels) AS class_no FROM labelled GROUP BY labels),
+members AS (SELECT *, row_number() OVER (PARTITION BY labels ORDER BY poi_id) - 1 AS nth FROM labelled),
+turns AS (SELECT d.point_id, c.class_no, arg_min(d.category_id, (d.share, d.category_id)) AS category_id, min(d.share) AS share
+  FROM dists d JOIN labels l USING (category_id) JOIN classes c ON c.one = l.poi_id GROUP BY d.point_id, c.class_no),
+class_visits AS (SELECT t.*, c.labels, c.members, round(({weight} - 1) / {top}, 9) AS bar FROM turns t JOIN classes c USING (class_no) JOIN hist ON hist.poi_id = c.one JOIN dlist USING (point_id)),
+tries AS (SELECT q.trip_id, q.seq, v.share, v.category_id, v.class_no, v.labels, v.members, CASE WHEN v.bar <= 0 THEN 0 ELSE floor(ln(1 - {place}) / ln(v.bar)) END AS nth
+  FROM q JOIN class_visits v USING (point_id) WHERE v.bar < 1),
+firsts AS (SELECT trip_id, seq, labels, nth::BIGINT AS nth, row_number() OVER (PARTITION BY trip_id, seq ORDER BY share, category_id, class_no) AS n FROM tries WHERE nth < members),
+every AS (SELECT poi_id, row_number() OVER (ORDER BY poi_id) AS number FROM pois),
+chosen AS (SELECT q.*, coalesce(m.poi_id, e.poi_id) AS poi_id FROM q LEFT JOIN firsts f ON f.trip_id = q.trip_id AND f.seq = q.seq AND f.n = 1
+  LEFT JOIN members m ON m.labels = f.labels AND m.nth = f.nth
+  LEFT JOIN every e ON e.number = CAST(floor({uniform(str(SEED), 'q.trip_id', 'q.seq', '5')} * (SELECT count(*) FROM pois)) AS BIGINT) + 1),
 semantic AS (SELECT c.*, o.lng AS nlng, o.lat AS nlat, {hav('c.lng', 'c.lat', 'o.lng', 'o.lat')} AS nr FROM chosen c JOIN pois o USING (poi_id))""" + noisy_stays("semantic", "semantic_stays")
 
 
@@ -291,11 +298,99 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_trip, p_trip
 joint AS (SELECT q_trip AS susceptible_id, arg_min(p_trip, (run_start, -run_prob, vs, ve, p_trip)) AS spreader_id, min(run_start) AS cst, 1 - product(1 - run_prob) AS probability, max(run_prob) AS most FROM hits GROUP BY q_trip)"""
 
 
+def angle(v1: str, v2: str, opposite: str) -> str:
+    """Degrees between two sides of a triangle; null where there is none."""
+    cosine = f"(({v1} * {v1} + {v2} * {v2} - {opposite} * {opposite}) / nullif(2 * {v1} * {v2}, 0))"
+    return f"(CASE WHEN abs({cosine}) <= 1 THEN degrees(acos({cosine})) END)"
+
+
+def fold(a: str) -> str:
+    return f"(CASE WHEN {a} <= 180 THEN {a} ELSE 180 - {a} END)"
+
+
+def correlated_ctes(name: str, source: str, keys: str, series: bool) -> str:
+    """name: keys, tied, from source's keys, dist, pp, qp (distances to the stay before), radius, delta.
+
+    1000 radii; the 1000 angles at each are added up one by one, or (series) as the geometric series on both sides of 0.
+    """
+    density = "exp(-r) / (1 - exp(-radius))"
+    out = f""", {name}_s AS (SELECT *, least(abs(dist - delta), least(radius, dist + delta)) AS lo, greatest(abs(dist - delta), least(radius, dist + delta)) AS hi,
+  CASE WHEN dist < delta THEN list_sum([exp(-(k * ((delta - dist) / 1000))) / (1 - exp(-radius)) * ((delta - dist) / 1000) FOR k IN range(1000)]) ELSE 0 END AS whole,
+  {angle("qp", "dist", "pp")} AS turn FROM {source}),
+{name}_r AS (SELECT *, (hi - lo) / 1000 AS step, lo + z * ((hi - lo) / 1000) AS r FROM {name}_s CROSS JOIN range(1000) t(z) WHERE radius > 0 AND dist < delta + radius AND NOT (delta >= radius AND dist <= delta - radius)),
+{name}_h AS (SELECT *, {angle("r", "dist", "delta")} AS half FROM {name}_r),
+{name}_a AS (SELECT *, {fold("(turn - half)")} AS one, {fold("(turn + half)")} AS other FROM {name}_h),
+{name}_w AS (SELECT *, least(one, other) AS low, (greatest(one, other) - least(one, other)) / 1000 AS width FROM {name}_a WHERE half IS NOT NULL AND turn IS NOT NULL),"""
+    if series:
+        some = "CASE WHEN width < 1e-12 THEN {n} ELSE (1 - exp(-width * {n})) / nullif(1 - exp(-width), 0) END"
+        out += f"""
+{name}_n AS (SELECT *, CASE WHEN width = 0 THEN 0 ELSE least(1000.0::DOUBLE, greatest(0.0::DOUBLE, ceil(-low / width))) END AS m FROM {name}_w),
+{name}_m AS (SELECT *, (CASE WHEN m > 0 THEN exp(least(low + (m - 1) * width, 0)) * ({some.format(n="m")}) ELSE 0 END
+  + CASE WHEN m < 1000 THEN exp(-greatest(low + m * width, 0)) * ({some.format(n="(1000 - m)")}) ELSE 0 END) * width / (2 * (1 - exp(-180.0::DOUBLE))) AS mass FROM {name}_n),"""
+    else:
+        out += f"""
+{name}_m AS (SELECT *, list_sum([exp(-abs(low + k * width)) FOR k IN range(1000)]) * width / (2 * (1 - exp(-180.0::DOUBLE))) AS mass FROM {name}_w),"""
+    return out + f"""
+{name}_t AS (SELECT {keys}, sum(least(mass, 1.0::DOUBLE) * {density} * step) AS part FROM {name}_m GROUP BY ALL),
+{name} AS (SELECT s.*, CASE WHEN radius <= 0 OR dist >= delta + radius THEN 0.0::DOUBLE WHEN delta >= radius AND dist <= delta - radius THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, whole + coalesce(part, 0)) END AS tied
+  FROM {name}_s s LEFT JOIN {name}_t USING ({keys}))"""
+
+
+def probable_trace(hops: int, independent: bool) -> str:
+    """CTEs up to all_c: contacts of noisy trips with their probability, over hops."""
+    far, delta = hav("q.lng", "q.lat", "p.lng", "p.lat"), f"(p_radius + {RADIUS})"
+    more = ", q.prev_lng AS pvx, q.prev_lat AS pvy, q.lng AS qx, q.lat AS qy, p.lng AS px, p.lat AS py"
+    out = geo_ctes() + """, g9 AS (SELECT * REPLACE (round(lng, 9) AS lng, round(lat, 9) AS lat, round(radius, 9) AS radius) FROM geo_stays),
+gp AS (SELECT *, lag(lng) OVER w AS prev_lng, lag(lat) OVER w AS prev_lat FROM g9 WINDOW w AS (PARTITION BY trip_id ORDER BY seq)),
+c_ranges AS (SELECT trip_id, max(leave_ts) AS t_end FROM gp GROUP BY trip_id), c_pool1 AS (SELECT * FROM gp)"""
+    spreading = "p"
+    for k in range(1, hops + 1):
+        n = f"c{k}"
+        out += pair_ctes(n, f"c_pool{k}", spreading, f"{far} <= {RADIUS} + {TOL} + q.radius + p.radius", far, more)
+        alone = probability("dist", "q_radius", delta)
+        if independent:
+            out += f", probs_{n} AS (SELECT *, {alone} AS prob FROM runs_{n})"
+        else:
+            out += f""", tie_{n} AS (SELECT q_trip, p_trip, i, j, dist, {hav("px", "py", "pvx", "pvy")} AS pp, {hav("qx", "qy", "pvx", "pvy")} AS qp, q_radius AS radius, {delta} AS delta FROM runs_{n} WHERE pvx IS NOT NULL)"""
+            out += correlated_ctes(f"tied_{n}", f"tie_{n}", "q_trip, p_trip, i, j", True)
+            out += f", probs_{n} AS (SELECT r.*, CASE WHEN pvx IS NULL THEN {alone.replace('dist', 'r.dist')} ELSE tied END AS prob FROM runs_{n} r LEFT JOIN tied_{n} USING (q_trip, p_trip, i, j))"
+        out += f""", sofar_{n} AS (SELECT *, max(prob) OVER (PARTITION BY q_trip, p_trip, run ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS run_prob FROM probs_{n}),
+hits_{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_trip, p_trip ORDER BY run_start, run, i, j) AS rn FROM sofar_{n} WHERE cum >= {DUR}) WHERE rn = 1),
+new_{n} AS (SELECT * FROM (SELECT q_trip AS susceptible_id, arg_min(p_trip, (run_start, -run_prob, vs, ve, p_trip)) AS spreader_id, min(run_start) AS cst, {k} AS hop,
+  1 - product(greatest(0.0::DOUBLE, 1 - run_prob / {k})) AS probability, max(run_prob / {k}) AS most FROM hits_{n} GROUP BY q_trip) WHERE probability >= {MIN_PROB} OR most >= {MIN_PROB}),
+c_pool{k + 1} AS (SELECT * FROM c_pool{k} WHERE trip_id NOT IN (SELECT susceptible_id FROM new_{n})),
+c_front{k + 1} AS (SELECT s.*, c.cst AS vs, r.t_end AS ve FROM gp s JOIN new_{n} c ON c.susceptible_id = s.trip_id JOIN c_ranges r ON r.trip_id = s.trip_id)"""
+        spreading = f"c_front{k + 1}"
+    return out + ", all_c AS (" + " UNION ALL ".join(f"SELECT susceptible_id, spreader_id, cst, hop, probability FROM new_c{k}" for k in range(1, hops + 1)) + ")"
+
+
+#: Stays from raw positions, one position after another.
+STAY_POINTS = f""", seen AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY trip_id) AS n FROM gps),
+walk(trip_id, n, anchor, j, made) AS (
+  SELECT trip_id, any_value(n), 1::BIGINT, 1::BIGINT, -1::BIGINT FROM seen WHERE n > 2 GROUP BY trip_id
+  UNION ALL
+  SELECT w.trip_id, w.n, CASE WHEN b.k = w.n - 1 OR {hav("a.lng", "a.lat", "b.lng", "b.lat")} > 0.2 THEN b.k ELSE w.anchor END, b.k,
+    CASE WHEN (b.k = w.n - 1 OR {hav("a.lng", "a.lat", "b.lng", "b.lat")} > 0.2) AND b.ts - a.ts > 1800 THEN w.anchor ELSE -1 END
+  FROM walk w JOIN seen a ON a.trip_id = w.trip_id AND a.k = w.anchor JOIN seen b ON b.trip_id = w.trip_id AND b.k = w.j + 1
+), inner_stays AS (
+  SELECT w.trip_id, w.j, avg(s.lng) AS lng, avg(s.lat) AS lat, min(s.ts) AS arrive_ts, max(s.ts) AS leave_ts FROM walk w JOIN seen s ON s.trip_id = w.trip_id AND s.k BETWEEN w.made AND w.j WHERE w.made >= 0 GROUP BY w.trip_id, w.j
+), every_stay AS (
+  SELECT a.trip_id, -1 AS j, a.lng, a.lat, a.ts AS arrive_ts, coalesce(b.ts, a.ts) AS leave_ts FROM seen a LEFT JOIN seen b ON b.trip_id = a.trip_id AND b.k = 1 WHERE a.k = 0
+  UNION ALL SELECT * FROM inner_stays
+  UNION ALL SELECT trip_id, n, lng, lat, ts, ts FROM seen WHERE k = n - 1 AND n > 1
+)"""
+
+
 def _boxes(x: dict[str, str]) -> str:
     return ", ".join(f"{ROUND(v)} AS {k}" for k, v in x.items())
 
 
 CASES = "SELECT id AS case_id, id % 10 * 0.07::DOUBLE + 0.01::DOUBLE AS dist, id % 7 * 0.1::DOUBLE + 0.05::DOUBLE AS radius, id % 4 * 0.12::DOUBLE + 0.02::DOUBLE AS delta FROM range(200) t(id)"
+TIED_CASES = "SELECT *, id % 9 * 0.05::DOUBLE + 0.02::DOUBLE AS pp, id % 6 * 0.08::DOUBLE + 0.03::DOUBLE AS qp FROM (SELECT *, case_id AS id FROM (" + CASES + "))"
+#: The entries of a distribution d, 0 for none, and its label; for no distribution.
+ZEROS = ",".join("0" * 18)
+SHARES = f"coalesce(array_to_string([CASE WHEN x > 0 THEN printf('%.5f', x) ELSE '0' END FOR x IN {{0}}], ',') || ',' || (list_position({{0}}, list_max({{0}})) - 1), '{ZEROS}')"
+ROW, COL = "CAST(floor((43.0::DOUBLE - n.nlat) / 0.01::DOUBLE) AS BIGINT)", "CAST(floor((n.nlng - 114.0::DOUBLE) / 0.01::DOUBLE) AS BIGINT)"
 POINT = {"min_lng": "116.3045", "min_lat": "39.9025", "max_lng": "116.3045", "max_lat": "39.9025"}
 DISC = circle("116.3045::DOUBLE", "39.9025::DOUBLE", "0.3::DOUBLE")
 CELL = {"min_lng": "114.0::DOUBLE + cell_col * 0.01::DOUBLE", "min_lat": "43.0::DOUBLE - cell_row * 0.01::DOUBLE - 0.01::DOUBLE", "max_lng": "114.0::DOUBLE + cell_col * 0.01::DOUBLE + 0.01::DOUBLE", "max_lat": "43.0::DOUBLE - cell_row * 0.01::DOUBLE"}
@@ -361,11 +456,34 @@ ORACLES: dict[str, str] = {
     "contact_metrics": BASE + geo_ctes() + trace("geo_stays", "p", f"{FAR} <= {TOL} + q.radius + p.radius", "g") + trace() + """, m AS (
       SELECT (SELECT count(*) FROM all_g WHERE susceptible_id IN (SELECT susceptible_id FROM all_h)) AS true_positive, (SELECT count(*) FROM all_g) AS "found", (SELECT count(*) FROM all_h) AS actual)
       SELECT true_positive, "found", actual, round(true_positive / "found", 6) AS precision, round(true_positive / actual, 6) AS recall FROM m""",
+    "semantic_multi_hop_contacts": BASE + semantic_ctes() + trace("semantic_stays", "p", f"{FAR} <= {TOL} + q.radius + p.radius", "s") + "SELECT susceptible_id, spreader_id, cst, hop FROM all_s",
+    "geosemantic_multi_hop_contacts": BASE + geosemantic_ctes() + trace("gs_stays", "p", f"{FAR} <= {TOL} + q.radius + p.radius", "s") + "SELECT susceptible_id, spreader_id, cst, hop FROM all_s",
+    "interval_search_contacts": BASE + trace(hops=2) + "SELECT susceptible_id, spreader_id, cst, hop FROM all_h",
+    "probabilistic_multi_hop_contacts": BASE + probable_trace(2, True) + "SELECT susceptible_id, spreader_id, cst, hop, round(probability, 4) AS probability FROM all_c",
+    "correlated_multi_hop_contacts": BASE + probable_trace(2, False) + "SELECT susceptible_id, spreader_id, cst, hop, round(probability, 4) AS probability FROM all_c",
+    "contact_prob_correlated": f"WITH cases AS ({TIED_CASES})" + correlated_ctes("c", "cases", "case_id", False) + "SELECT case_id, round(tied, 6) AS probability FROM c",
+    "stay_points": BASE.replace("WITH ", "WITH RECURSIVE ", 1) + STAY_POINTS + f"SELECT trip_id, CAST(row_number() OVER (PARTITION BY trip_id ORDER BY j) - 1 AS INT) AS seq, {ROUND('lng')} AS lng, {ROUND('lat')} AS lat, arrive_ts, leave_ts FROM every_stay",
+    "probability_export": BASE + probable_trace(2, True) + "SELECT susceptible_id || ', ' || spreader_id || ', ' || cst || ',' || hop || ',' || printf('%g', round(probability, 4)) AS line FROM all_c",
+    "number_texts": "SELECT id, printf('%g', id * pow(10.0::DOUBLE, id % 12 - 8) / 7) AS text FROM range(240) t(id)",
     "date_to_epoch": "SELECT event_id, CAST(floor(epoch(strptime(strftime(ts, '%Y.%m.%d %H:%M:%S'), '%Y.%m.%d %H:%M:%S'))) AS BIGINT) AS epoch_s FROM events",
     "day_gap": BASE + "SELECT trip_id, CAST(date_diff('day', CAST(to_timestamp(t_start) AT TIME ZONE 'UTC' AS DATE), CAST(to_timestamp(t_end) AT TIME ZONE 'UTC' AS DATE)) AS INT) AS days, CAST(date_diff('day', CAST(to_timestamp(t_start) AT TIME ZONE 'UTC' AS DATE), CAST(to_timestamp(t_end + 40000000) AT TIME ZONE 'UTC' AS DATE)) AS INT) AS days_on FROM trips",
     "float_tag": "SELECT id, replace(regexp_replace(printf('%.6f', id / 8), '(\\.[0-9]+?)0+$', '\\1'), '.', '-') AS tag FROM range(300) t(id)",
     "split_tokens": "SELECT event_id, CAST(len(t) AS BIGINT) AS n_tokens, t[1] AS first, t[-1] AS last FROM (SELECT event_id, string_split(event_type || ',,' || props, ',') AS t FROM events)",
-    "contact_export": BASE + trace() + "SELECT susceptible_id || ', ' || spreader_id || ', ' || cst || ',' || hop || 'hop' AS line FROM all_h",
-    "noisy_trip_export": BASE + semantic_ctes() + "SELECT printf('%d,%.7f,%.7f,,%.7f,%.7f,%.7f,,%d,%d', trip_id, lng, lat, nlng, nlat, round(nr, 5), arrive_ts, leave_ts) AS line FROM semantic",
+    "contact_export": BASE + trace() + "SELECT susceptible_id || ', ' || spreader_id || ', ' || cst || ',' || hop AS line FROM all_h",
+    "noisy_trip_export": BASE + semantic_ctes() + f"SELECT printf('%d,%.7f,%.7f,%s,%.7f,%.7f,%.7f,%s,%d,%d', trip_id, lng, lat, {SHARES.format('a.d')}, nlng, nlat, round(nr, 5), {SHARES.format('b.d')}, arrive_ts, leave_ts) AS line FROM semantic s LEFT JOIN dlist a ON a.point_id = s.point_id LEFT JOIN dlist b ON b.point_id = s.poi_id",
+    "noisy_trip_export_geo": BASE + geo_ctes() + f"SELECT printf('%d,%.7f,%.7f,%s,%.7f,%.7f,%.7f,%s,%d,%d', trip_id, lng, lat, '{ZEROS}', round(nlng, 6), round(nlat, 6), round(nr, 6), '{ZEROS}', arrive_ts, leave_ts) AS line FROM noisy",
+    "snapped_points": BASE + geo_ctes() + f"""SELECT n.trip_id, n.seq, f.poi_id AS noisy_poi_id, {ROUND('coalesce(f.x, n.nlng)')} AS noisy_lng, {ROUND('coalesce(f.y, n.nlat)')} AS noisy_lat FROM noisy n LEFT JOIN (
+      SELECT * FROM (SELECT n.trip_id, n.seq, o.poi_id, o.lng AS x, o.lat AS y, row_number() OVER (PARTITION BY n.trip_id, n.seq ORDER BY greatest(abs(o.cell_row - {ROW}), abs(o.cell_col - {COL})), {hav('n.nlng', 'n.nlat', 'o.lng', 'o.lat')}, o.poi_id) AS rn
+        FROM noisy n JOIN pois o ON abs(o.cell_row - {ROW}) < 5 AND abs(o.cell_col - {COL}) < 5) WHERE rn = 1) f ON f.trip_id = n.trip_id AND f.seq = n.seq""",
+    "first_stays": BASE + "SELECT trip_id, seq, point_id, arrive_ts, leave_ts FROM stays s WHERE seq = (SELECT min(seq) FROM stays t WHERE t.trip_id = s.trip_id)",
+    "run_totals": BASE + f"SELECT count(DISTINCT trip_id) AS n_trips, count(*) AS n_stays, {ROUND('count(*) / count(DISTINCT trip_id)::DOUBLE')} AS stays_a_trip, count(DISTINCT arrive_ts) AS n_starts, max(leave_ts) AS last_end FROM stays",
+    "place_categories": BASE + "SELECT CAST(category_id AS INT) AS category_id, code, poi_id FROM labels",
+    "category_codes": BASE + "SELECT CAST(category_id AS INT) AS category_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes, count(DISTINCT poi_id) AS n_places FROM (SELECT category_id, code, poi_id FROM labels UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}', NULL::BIGINT)" for k, v in PREFIXES.items() for c in v) + ") v(a, b, c)) GROUP BY category_id",
+    "equal_distributions": BASE + "SELECT a.poi_id, coalesce(a.h = b.h, false) AS equal FROM hist a LEFT JOIN hist b ON b.poi_id = a.poi_id + 17",
+    "point_texts": BASE + "SELECT poi_id, printf('%.7f,%.7f', lng, lat) AS text FROM pois",
+    "trip_candidate_pairs": BASE + f""", pieces AS (SELECT trip_id * 1000 + seq // 20 AS trip_id, min(arrive_ts) AS t_start, max(leave_ts) AS t_end, min(lng) AS min_lng, min(lat) AS min_lat, max(lng) AS max_lng, max(lat) AS max_lat
+      FROM stays WHERE seq % 40 < 3 OR seq % 40 = 20 GROUP BY 1)
+      SELECT a.trip_id AS q_trip, b.trip_id AS p_trip FROM pieces a JOIN pieces b ON a.trip_id <> b.trip_id AND a.trip_id // 1000 % {SEED_EVERY} <> 0 AND b.trip_id // 1000 % {SEED_EVERY} = 0
+      AND a.t_start <= b.t_end AND b.t_start <= a.t_end AND ({intersects(A, B)} OR {box_distance(A, B)} <= 0.1)""",
     "run_parameters": "SELECT * FROM (VALUES ('contact_min_duration', '600'), ('contact_min_prob', '0.0'), ('data_total', '10'), ('dataset_type', 'Synthetic'), ('home_path', './Testing/'), ('identical_poi_dist_max', '0.0'), ('independent_contact_prob', 'True'), ('init_contact_ratio', '0.2'), ('multi_hop', '5'), ('privacy_epsilon_geo', '4.0'), ('privacy_epsilon_semantic', '4.0'), ('privacy_model', 'geo'), ('search_type', 'IR'), ('run_name', 'Synthetic_D10_QR0-2_G_EG4-0_FS_MH5_CD0-0_CT600_IR')) t(key, value)",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from hopwise.functions import text as X
 from hopwise.functions.noise import planar_laplace_radius, uniform
 from hopwise.functions.probability import correlated_probability, independent_probability
 from hopwise.operators import contacts as C
+from hopwise import run
 from hopwise.operators import multihop, places, privacy, sinks, staypoints, trips
 from hopwise.oracles import ORACLES  # noqa: F401
 from hopwise.plans.config import TracingConfig
@@ -22,7 +24,6 @@ MIN_DURATION = 600
 HOPS = 5
 EPSILON = 4.0
 RADIUS_KM = 0.12
-PRIVATE_TOLERANCE_KM = 0.001
 MIN_PROB = 0.05
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,9 +52,7 @@ def the_seeds(of: DataFrame) -> DataFrame:
 
 def the_distributions(spark: SparkSession) -> DataFrame:
     """point_id, distribution of the places around each place."""
-    pois = the_pois(spark)
-    near = places.k_nearest(pois.select("poi_id", "lng", "lat").withColumnRenamed("poi_id", "point_id"), pois, "point_id", rings=2)
-    return places.distributions(near, "point_id")
+    return run.place_distributions(the_pois(spark), rings=2)
 
 
 def split_sides(of: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +106,7 @@ def first_n_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def seed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_trips = trips.trips(the_stays(spark, sf_dir))
-    return trips.sample_exactly(all_trips.select("trip_id"), 0.1, F.col("trip_id"))
+    return trips.sample_exactly(all_trips.select("trip_id"), int(all_trips.count() * 0.1), "trip_id")
 
 
 @query
@@ -356,7 +355,7 @@ def private_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = the_stays(spark, sf_dir)
     _, p = split_sides(of)
     noisy = C.with_previous(privacy.geo_ind(susceptible_stays(of), EPSILON))
-    return C.with_probability(C.pairs(noisy, p, d_km=RADIUS_KM, tolerance_km=PRIVATE_TOLERANCE_KM, min_duration=MIN_DURATION), RADIUS_KM)
+    return C.with_probability(C.pairs(noisy, p, d_km=RADIUS_KM, tolerance_km=run.PRIVATE_TOLERANCE_KM, min_duration=MIN_DURATION), RADIUS_KM)
 
 
 @query
@@ -377,17 +376,8 @@ def probabilistic_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def private_trace(spark: SparkSession, sf_dir: str, config: TracingConfig) -> DataFrame:
-    """A whole run by its configuration: perturb the susceptible trips, then trace from exact seeds."""
     of = the_stays(spark, sf_dir)
-    seeds = the_seeds(of)
-    seed_stays = of.join(seeds, "trip_id", "left_semi")
-    noisy = privacy.perturb(config.privacy_model, susceptible_stays(of), the_pois(spark), the_distributions(spark), config.privacy_epsilon_geo, config.privacy_epsilon_semantic)
-    columns = ["trip_id", "seq", "lng", "lat", "arrive_ts", "leave_ts", "radius"]
-    exact = seed_stays.select(*(F.col(c).cast("double").alias(c) if c in ("lng", "lat", "radius") else c for c in columns))
-    return multihop.trace(
-        noisy.select(columns), seeds, hops=config.multi_hop, d_km=config.identical_poi_dist_max, tolerance_km=PRIVATE_TOLERANCE_KM if config.is_private else 0.0,
-        min_duration=config.contact_min_duration, min_prob=config.contact_min_prob if config.mode != "PCT" else 0.0, independent=config.independent_contact_prob, seed_stays=exact,
-    )
+    return run.traced(config, of, the_seeds(of), the_pois(spark), the_distributions(spark))
 
 
 GEO_RUN = TracingConfig(privacy_model="geo", multi_hop=HOPS, identical_poi_dist_max=0.0, contact_min_duration=MIN_DURATION)
@@ -400,12 +390,38 @@ def private_multi_hop_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def correlated_multi_hop_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    config = TracingConfig(privacy_model="geo", multi_hop=2, identical_poi_dist_max=RADIUS_KM, contact_min_duration=MIN_DURATION, contact_min_prob=MIN_PROB, independent_contact_prob=False)
-    found = private_trace(spark, sf_dir, config)
+def semantic_multi_hop_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_trace(spark, sf_dir, replace(GEO_RUN, privacy_model="semantic")).select("susceptible_id", "spreader_id", "cst", "hop")
+
+
+@query
+def geosemantic_multi_hop_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_trace(spark, sf_dir, replace(GEO_RUN, privacy_model="geosemantic")).select("susceptible_id", "spreader_id", "cst", "hop")
+
+
+@query
+def interval_search_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact run with stays joined by time alone."""
+    return private_trace(spark, sf_dir, replace(GEO_RUN, privacy_model="ground_truth", search_type="interval", multi_hop=2)).select("susceptible_id", "spreader_id", "cst", "hop")
+
+
+PROBABLE_RUN = replace(GEO_RUN, multi_hop=2, identical_poi_dist_max=RADIUS_KM, contact_min_prob=MIN_PROB)
+
+
+def probable(found: DataFrame) -> DataFrame:
     return found.select("susceptible_id", "spreader_id", "cst", "hop", F.round("probability", 4).alias("probability"))
 
 
+@query
+def probabilistic_multi_hop_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probable(private_trace(spark, sf_dir, PROBABLE_RUN))
+
+
+@query
+def correlated_multi_hop_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probable(private_trace(spark, sf_dir, replace(PROBABLE_RUN, independent_contact_prob=False)))
+
+
 @query
 def contact_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = multihop.agreement(private_trace(spark, sf_dir, GEO_RUN), exact_trace(spark, sf_dir))
@@ -446,11 +462,78 @@ def contact_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.contact_lines(exact_trace(spark, sf_dir), multi_hop=True, with_probability=False)
 
 
+@query
+def probability_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts with a probability, rounded so that engines agree on its sixth digit."""
+    found = private_trace(spark, sf_dir, PROBABLE_RUN).withColumn("probability", F.round("probability", 4))
+    return sinks.contact_lines(found, multi_hop=True, with_probability=True)
+
+
+@query
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.range(240).select("id", (F.col("id") * F.pow(F.lit(10.0), F.col("id") % 12 - 8) / 7).alias("v"))
+    return rows.select("id", sinks.number_text(F.col("v")).alias("text"))
+
+
 @query
 def noisy_trip_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = privacy.semantic_points(susceptible_stays(the_stays(spark, sf_dir)), the_pois(spark), the_distributions(spark), EPSILON)
-    rows = points.select("trip_id", "lng", "lat", F.lit(None).cast("array<double>").alias("distribution"), "noisy_lng", "noisy_lat", F.round("noisy_radius", 5).alias("displacement"), F.lit(None).cast("array<double>").alias("noisy_distribution"), "arrive_ts", "leave_ts")
-    return sinks.noisy_trip_lines(rows)
+    distributions = the_distributions(spark)
+    points = privacy.semantic_points(susceptible_stays(the_stays(spark, sf_dir)), the_pois(spark), distributions, EPSILON)
+    return sinks.noisy_trip_lines(run.noisy_trip_rows(points.withColumn("noisy_radius", F.round("noisy_radius", 5)), distributions))
+
+
+@query
+def noisy_trip_export_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy points that are no places have no distribution; coordinates rounded so that engines agree."""
+    points = privacy.noisy_points(susceptible_stays(the_stays(spark, sf_dir)), EPSILON)
+    return sinks.noisy_trip_lines(run.noisy_trip_rows(rounded(points, "noisy_lng", "noisy_lat", "noisy_radius"), None))
+
+
+@query
+def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = privacy.snapped(privacy.noisy_points(susceptible_stays(the_stays(spark, sf_dir)), EPSILON), the_pois(spark))
+    return rounded(noisy.select("trip_id", "seq", "noisy_poi_id", "noisy_lng", "noisy_lat"), "noisy_lng", "noisy_lat")
+
+
+@query
+def first_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips.first_stays(the_stays(spark, sf_dir)).select("trip_id", "seq", "point_id", "arrive_ts", "leave_ts")
+
+
+@query
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(trips.totals(the_stays(spark, sf_dir)), "stays_a_trip")
+
+
+@query
+def place_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.place_categories(the_pois(spark))
+
+
+@query
+def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.codes_by_category(the_pois(spark)).select("category_id", F.array_join("codes", ",").alias("codes"), "n_places")
+
+
+@query
+def equal_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the labels of a place and of the one 17 after it have the same distribution; false for the last, which have none."""
+    own = the_pois(spark).select("poi_id", K.label_histogram(F.col("categories.category_id")).alias("a"))
+    other = own.select((F.col("poi_id") - 17).alias("poi_id"), F.col("a").alias("b"))
+    return own.join(other, "poi_id", "left").select("poi_id", K.equal_distributions(F.col("a"), F.col("b")).alias("equal"))
+
+
+@query
+def point_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return the_pois(spark).select("poi_id", sinks.point_text("lng", "lat").alias("text"))
+
+
+@query
+def trip_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = the_stays(spark, sf_dir).filter("seq % 40 < 3 or seq % 40 = 20").withColumn("trip_id", F.col("trip_id") * 1000 + F.floor(F.col("seq") / 20))
+    pieces = trips.trips(of)
+    seeds = F.floor(F.col("trip_id") / 1000) % fixture.SEED_EVERY == 0
+    return places.candidate_pairs(pieces.filter(~seeds), pieces.filter(seeds), 0.1)
 
 
 @query
