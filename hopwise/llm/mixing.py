@@ -10,10 +10,12 @@ All arithmetic is on integers. The cut of a leaf's order is found through counts
 one row per leaf and range is shuffled, then the rows of each leaf's one range that holds the cut. No
 task gets a whole leaf, and texts aren't shuffled at all.
 
-Defined cases: a row without tokens (null, empty or wordless text) is never selected; null counts as
-"" in a level; repeated rows share a place in the order and are selected together; weights are whole
-numbers, a child without one has the level's default, and one of weight 0 gets nothing; an empty table
-gives an empty result.
+Defined cases: a row without tokens (null, empty or wordless text) is never selected; a very long text is one row of
+its tokens, taken whole or not at all, so a leaf's tokens may fall short of its budget by less than one row; null counts
+as "" in a level; null and repeated ids are rows like others; repeated rows share a place in the order and are selected
+together; ties in capacity for weight are taken by name; weights are whole numbers, a child without one has the
+level's default, and one of weight 0 gets nothing; an empty table gives an empty result. selection() ignores other
+columns, mixed() passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import materialize, words
+from hopwise.llm.common import materialize, packed, words
 
 #: Rows of a leaf that the range with its cut should hold; ranges are at most 2 ** 16 a leaf.
 RANGE_ROWS = 256
@@ -114,7 +116,7 @@ def selection(
     counted = tokens if tokens is not None else F.size(words(F.col(text_col).cast("string")))
     rows = materialize(
         docs.select(
-            F.col(id_col).alias("__id"),
+            F.col(f"`{id_col}`").alias("__id"),
             *(F.coalesce(x.value.cast("string"), F.lit("")).alias(x.name) for x in levels),
             counted.cast("long").alias("n_tokens"),
             F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__text"),
@@ -172,14 +174,11 @@ def mixed(docs: DataFrame, levels: list[Level], *, id_col: str = "doc_id", text_
     _, ready = selection(docs, levels, id_col=id_col, text_col=text_col, seed=seed, **how)
     names = [x.name for x in levels]
     leaf = F.struct(*(F.coalesce(x.value.cast("string"), F.lit("")).alias(x.name) for x in levels))
-    cuts = ready.filter("budget > 0").select(F.struct(*names).alias("__leaf"), F.col("full").alias("__full"), F.col("cut").alias("__cut"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("__at", leaf).join(cuts, F.col("__at") == F.col("__leaf"))
-    copies = F.col("__full") + (place(seed, F.col("__full"), F.col(id_col), F.md5(text)) <= F.col("__cut")).cast("int")
-    some = F.size(words(F.col(text_col).cast("string"))) > 0
-    return (
-        joined.withColumn("__copies", copies)
-        .filter((F.col("__copies") > 0) & some)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(docs.columns)
+    cuts = ready.filter("budget > 0").select(F.struct(*names).alias("leaf"), "full", "cut")
+    text = F.col(f"`{text_col}`").cast("string")
+    taken_from = docs.select(
+        packed(docs).alias("row"), leaf.alias("at"), F.col(f"`{id_col}`").alias("key"), F.md5(F.coalesce(text, F.lit(""))).alias("text"), (F.size(words(text)) > 0).alias("some")
     )
+    joined = taken_from.filter("some").join(cuts, F.col("at") == F.col("leaf"))
+    copies = F.col("full") + (place(seed, F.col("full"), F.col("key"), F.col("text")) <= F.col("cut")).cast("int")
+    return joined.withColumn("copies", copies).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

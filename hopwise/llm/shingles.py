@@ -9,8 +9,8 @@ shows seldom. Two sets of at least the similarity share one of their first |x| -
 so sets meet by those, and no link is lost. A candidate must first pass a bound of its symmetric difference
 by histograms of both sets, then the exact similarity of both whole sets, and only then counts for components.
 
-First, besides the tries' pairs, each set meets the least one of its bucket and size; the links found join the
-sets into components. Then sets of different components meet in pairs: within a component no more links are needed, so a large
+First, besides the tries' pairs, each set meets the centre of its bucket and size, the one with the fewest members of
+its own; the links found join the sets into components. Then sets of different components meet in pairs: within a component no more links are needed, so a large
 group of near copies is not paired. Their meetings are counted, and the places in both prefixes bound the
 similarity from above before anything larger than a pair moves. A bucket of very many sets is split into chunks that meet two at a time.
 
@@ -203,7 +203,7 @@ PAIR_DDL = "a long, b long, common long, ia long, ib long, na long, nb long"
 
 
 def pairs_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of different components and fitting sizes, from rows h, ci, cj, chunk, key, n, root, i sorted by the first three.
+    """Pairs (a < b) of different components and fitting sizes, from rows h, ci, cj, chunk, key, n, root, i, alone sorted by the first three.
 
     For each pair the members that meet here, and the last places of such members in both prefixes.
     """
@@ -220,12 +220,12 @@ def pairs_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
 
     def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         bucket = np.concatenate([[0], np.cumsum(np.any(rows[1:, :3] != rows[:-1, :3], axis=1))])
-        _, ci, cj, chunk, key, n, root, place = rows.T
+        _, ci, cj, chunk, key, n, root, place, alone = rows.T
         found, held, apart = [], 0, 1
         x = np.arange(len(rows) - 1)
         while len(x := x[x + apart < len(rows)]) and len(x := x[bucket[x] == bucket[x + apart]]):
             y = x + apart
-            fits = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num)
+            fits = (root[x] != root[y]) & may_fit(n[x], n[y], alone[x], alone[y], num, den)
             # Two of one chunk meet in one cell only: with the first chunk, and those of the first with the second.
             fits &= (chunk[x] != chunk[y]) | (ci[x] == cj[x]) | ((ci[x] == 0) & ((chunk[x] == cj[x]) | (cj[x] == 1)))
             p, q = x[fits], y[fits]
@@ -240,7 +240,7 @@ def pairs_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         if held:
             yield made(found)
 
-    held = np.empty((0, 8), np.int64)
+    held = np.empty((0, 9), np.int64)
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
         held = np.concatenate([held, rows])
@@ -252,6 +252,15 @@ def pairs_of(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield from solve(held)
 
 
+def may_fit(na, nb, alone_a, alone_b, num: int, den: int):
+    """False only if sets of such sizes, with so many members that no other set has, are below the similarity num / den.
+
+    Of arrays or columns. The least common part that the similarity asks for leaves room for so many others in each set, and
+    a smaller set is no smaller than that share of the larger.
+    """
+    return (alone_a * (num + den) <= na * den - nb * num) & (alone_b * (num + den) <= nb * den - na * num) & (na * den >= nb * num) & (nb * den >= na * num)
+
+
 def may_be_pair(similarity: float) -> Column:
     """False only for pairs below the similarity.
 
@@ -272,16 +281,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(f"`{text_col}`").cast("string")
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__copy"), text.alias("__t"))
     each = materialize(sets(texts, docs.schema[id_col].dataType.simpleString(), shingle_words, similarity), "each")
-    rows = each.select("key", "n", F.posexplode("prefix").alias("i", "h"))
+    rows = each.select("key", "n", F.size("prefix").alias("m"), F.posexplode("prefix").alias("i", "h"))
     buckets = rows.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y").select("h")
-    shared = written(bits.semi(rows, written(buckets, "buckets"), "h", exact=True).distinct(), "shared")
+    met = bits.semi(rows, written(buckets, "buckets"), "h", exact=True).distinct()
+    met = written(met, "met")
+    # What of a prefix no other set has is in the symmetric difference with any.
+    held = met.groupBy("key").agg(F.count("*").alias("held"))
+    shared = written(met.join(held, "key").select("h", "key", "n", "i", (F.col("m") - F.col("held")).alias("alone")), "shared")
+    num, den = share(similarity)
     band = F.floor(F.log("n") / F.log(F.lit(1 / similarity)))
-    centres = shared.groupBy("h", band.alias("band")).agg(F.min("key").alias("a"))
-    stars = shared.withColumn("band", band).join(centres, ["h", "band"]).filter("a < key").select("a", F.col("key").alias("b")).distinct()
-    met = stars.union(trie_pairs(each, budget)).distinct()
-    first = links(written(met, "met"), each, texts, shingle_words, similarity)
+    # The centre of a bucket is the set with the least of its own: of copies, the one that is least changed.
+    centres = shared.groupBy("h", band.alias("band")).agg(F.min(F.struct("alone", "key", "n")).alias("c"))
+    fit = may_fit(F.col("n"), F.col("c.n"), F.col("alone"), F.col("c.alone"), num, den)
+    stars = shared.withColumn("band", band).join(centres, ["h", "band"]).filter((F.col("c.key") != F.col("key")) & fit)
+    stars = stars.select(F.least("c.key", "key").alias("a"), F.greatest("c.key", "key").alias("b")).distinct()
+    first = links(written(stars.union(trie_pairs(each, budget)).distinct(), "stars"), each, texts, shingle_words, similarity)
     roots = written(connected_components(first), "first")
-    placed = shared.join(roots, shared["key"] == roots["node"], "left").select("h", "key", "n", "i", F.coalesce("root", "key").alias("root"))
+    placed = shared.join(roots, shared["key"] == roots["node"], "left").select("h", "key", "n", "i", "alone", F.coalesce("root", "key").alias("root"))
     mixed = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
     long = lambda c: F.lit(c).cast("long")
     chunks, own = F.ceil(F.col("m") / bucket_rows).cast("long"), F.pmod(F.xxhash64("key"), F.col("chunks"))
@@ -295,8 +311,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         placed.join(mixed.select("h", "m"), "h")
         .withColumn("chunks", chunks)
         .withColumn("own", own)
-        .select("h", "key", "n", "i", "root", "own", F.explode(cells).alias("cell"))
-        .select("h", "cell.ci", "cell.cj", F.col("own").alias("chunk"), "key", F.col("n").cast("long").alias("n"), "root", F.col("i").cast("long").alias("i"))
+        .select("h", "key", "n", "i", "alone", "root", "own", F.explode(cells).alias("cell"))
+        .select("h", "cell.ci", "cell.cj", F.col("own").alias("chunk"), "key", F.col("n").cast("long").alias("n"), "root", F.col("i").cast("long").alias("i"), F.col("alone").cast("long").alias("alone"))
     )
     tasks = dealt.repartition("h", "ci", "cj").sortWithinPartitions("h", "ci", "cj")
     met = tasks.mapInArrow(lambda batches: pairs_of(batches, similarity), PAIR_DDL).groupBy("a", "b").agg(

@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def classes(each: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """each's __id and key with component_id, the smallest id of its component, and root, the smallest key. distinct: key, least; roots: node, root."""
     linked = distinct.join(roots, distinct[key] == roots["node"]).select(key, "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("joint"))
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("joint")), "least")
     joint = linked.join(least, "root").select(key, "joint", "root")
     # Written, so that the last join is of two plain tables, whose large partitions Spark can split.
     named = distinct.join(joint, key, "left").select(key, F.coalesce("joint", "least").alias("component_id"), F.coalesce("root", key).alias("root"))
@@ -311,7 +311,8 @@ def kept_rows(docs: DataFrame, found: DataFrame, hashed, key: str, id_col: str,
     hashed: from a text to its key; only called for ids that come more than once.
     """
     rows = found.filter(F.col("__id").isNotNull()).groupBy("__id", key).agg(F.count("*").alias("n"), F.min("root").alias("root"))
-    first = rows.groupBy("root").agg(F.min(F.struct("__id", key)).alias("first"))
+    # Both sides of joins on root are plain tables, as a component may be large: Spark can split its partition then.
+    first = materialize(rows.groupBy("root").agg(F.min(F.struct("__id", key)).alias("first")), "firsts")
     flagged = materialize(rows.join(first, "root").select("__id", key, "n", (F.struct("__id", key) == F.col("first")).alias("stays")), "flagged")
     by_id = flagged.groupBy("__id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
     special = materialize(by_id.filter("n > 1 or not stays").select(F.col("__id").alias("id"), "n"), "special")

@@ -166,3 +166,12 @@ def test_the_permutation_is_fisher_yates_of_each_bucket(docs):
     size = sum(len(f"text {k}") + 16 for k in range(300))
     found = sharding.shuffled(data, n_shards, seed=seed, bucket_bytes=-(-size // 12)).collect()
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in found} == expected
+
+
+@pytest.mark.parametrize("name", ["__at", "at", "leaf", "row", "full", "cut", "copies", "budget", "language", "key"])
+def test_mixed_keeps_columns_of_any_name(docs, name):
+    rows = [(k, f"text number {k}", "xy"[k % 2], f"s{k % 3}") for k in range(40)]
+    out = mixing.mixed(docs(*rows).withColumnRenamed("n_chars", name), levels(), total=70)
+    assert out.columns == ["doc_id", "text", "lang", "source", name]
+    found = out.collect()
+    assert found and all(r[name] == len(r["text"]) for r in found)
