@@ -242,7 +242,7 @@ def captures(found: DataFrame) -> DataFrame:
     """One nested row per capture: capture, uri, date, request, response (or revisit) and metadata; null for what is missing.
 
     Records that name the same response are told apart by their order in the archives, so repeated
-    captures stay apart. found: as records() gives them.
+    captures stay apart. found: as records() gives them; it is read three times, so archives are better parsed into a table before.
     """
     answer = F.col("type").isin("response", "revisit")
     told = (
@@ -267,7 +267,8 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", min_revisit: int =
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write(pages, path, id_col=id_col, min_revisit=min_revisit)
-    whole = materialize(captures(records(spark, path, keep_payload=False)).filter("response is not null").select(
+    found = materialize(records(spark, path, keep_payload=False), "records")  # parsed once, for three joined parts
+    whole = materialize(captures(found).filter("response is not null").select(
         "capture",
         F.col("metadata.page_id").alias(id_col),
         F.coalesce("response.payload_bytes", "response.http_length").alias("payload_bytes"),
