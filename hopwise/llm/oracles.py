@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hopwise.llm import quality, secret_scan
+
 WORDS = "[x FOR x IN regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+') IF x <> '']".format
 
 WARC = """WITH k AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -51,3 +53,90 @@ budgets AS (SELECT *, (budget // tokens)::INT AS full_, budget - (budget // toke
 placed AS (SELECT *, md5(concat_ws(':', '{seed}', full_, doc_id, t)) AS p FROM r JOIN budgets USING ({using}) WHERE n_tokens > 0 AND budget > 0),
 upto AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {using} ORDER BY p) AS c FROM placed)
 SELECT doc_id, {using}, n_tokens, full_ + CASE WHEN c <= left_ THEN 1 ELSE 0 END AS copies FROM upto WHERE full_ > 0 OR c <= left_"""
+
+
+def _ratio(statistic: str) -> str:
+    return "(" + statistic.replace("100 *", "100.0::DOUBLE *").replace("word_chars /", "word_chars::DOUBLE /") + ")"
+
+
+def quality_rules(alpha: float, delta: float, rules: tuple[quality.Rule, ...] = quality.RULES) -> str:
+    """Counts, cutoffs by exact binomial tails (sums of their terms), and verdicts."""
+    listed = ", ".join(f"({k}, '{r.name}', [{', '.join(f'{float(c)}::DOUBLE' for c in r.ladder)}])" for k, r in enumerate(rules))
+    values = " UNION ALL ".join(f"SELECT *, {k} AS rule, {_ratio(r.statistic)} AS value FROM {{0}}" for k, r in enumerate(rules))
+    share = alpha / len(rules)
+    term = f"exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({share}::DOUBLE) + (n - x) * ln(1 - {share}::DOUBLE))"
+    return f"""WITH base AS (SELECT d.*, coalesce(text, '') AS t, {WORDS("coalesce(text, '')")} AS w,
+  [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM documents d),
+windows AS (SELECT doc_id, unnest(range(len(w) - 2)) AS k, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM base WHERE len(w) > 2),
+twins AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT k + j) AS n FROM twins CROSS JOIN range(3) r(j) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, lang, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+    length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g'))::BIGINT AS n_capitals, length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS n_marks
+  FROM base LEFT JOIN covered USING (doc_id)
+), based AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM counted),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+holdout AS (SELECT DISTINCT ON (lang, t) * FROM based WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+rules(rule, name, ladder) AS (VALUES {listed}),
+tried AS (SELECT lang, rule, i, any_value(ladder[i]) AS cutoff, count(*) AS n, count(CASE WHEN value > ladder[i] THEN 1 END) AS rejected
+  FROM ({values.format("holdout")}) JOIN rules USING (rule) CROSS JOIN range(1, 201) r(i) WHERE i <= len(ladder) GROUP BY lang, rule, i),
+judged AS (SELECT *, CASE WHEN rejected >= n * {share}::DOUBLE THEN 1.0::DOUBLE ELSE list_sum([{term} FOR x IN range(rejected + 1)]) END AS tail FROM tried),
+passed AS (SELECT *, min(CASE WHEN tail <= {delta}::DOUBLE / ((SELECT count(DISTINCT coalesce(lang, '')) FROM holdout) * {len(rules)}) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY i) AS pass FROM judged),
+cutoffs AS (SELECT lang, rule, arg_max(cutoff, i) AS cutoff FROM passed WHERE pass = 1 GROUP BY lang, rule),
+failures AS (SELECT doc_id, string_agg(name, ',' ORDER BY v.rule) AS failed FROM ({values.format("based")}) v JOIN cutoffs c ON c.rule = v.rule AND c.lang IS NOT DISTINCT FROM v.lang JOIN rules r ON r.rule = v.rule WHERE value > cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, lang AS stratum, coalesce(failed, '') AS failed_rules
+FROM based LEFT JOIN failures USING (doc_id)"""
+
+
+_TOKENS = "[x FOR x IN regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']".format
+
+#: Every two equal tokens of a text and an item are a point of a diagonal; on each, the longest stretch is sought between all points.
+OVERLAPS = f"""WITH d AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {_TOKENS("text")} AS w FROM documents)),
+items AS (SELECT DISTINCT item_id, {_TOKENS("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, len(w) AS n, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS place FROM items WHERE len(w) >= 5),
+met AS (SELECT doc_id, item_id, n, pos - place AS diagonal, place, row_number() OVER (PARTITION BY doc_id, item_id, pos - place ORDER BY place) AS nth, count(*) OVER (PARTITION BY doc_id, item_id, pos - place) AS c FROM d JOIN b USING (token)),
+dense AS (SELECT * FROM met WHERE c >= ceil(0.8::DOUBLE * least(n, 13))),
+stretches AS (
+  SELECT x.doc_id, x.item_id, x.diagonal, x.place AS first, y.place - x.place + 1 AS len, y.nth - x.nth + 1 AS equal FROM dense x JOIN dense y USING (doc_id, item_id, diagonal)
+  WHERE x.n >= 13 AND y.place - x.place >= 12 AND 5 * (y.nth - x.nth + 1) >= 4 * (y.place - x.place + 1)
+), longest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY len DESC, first) AS rn FROM stretches) WHERE rn = 1
+), found AS (
+  SELECT doc_id, item_id, diagonal, first, len, equal FROM longest
+  UNION ALL SELECT doc_id, item_id, diagonal, greatest(0, -diagonal), n, count(*) FROM dense WHERE n < 13 GROUP BY doc_id, item_id, diagonal, n HAVING 5 * count(*) >= 4 * n
+), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, first + diagonal, diagonal) AS rn FROM found)
+SELECT doc_id, item_id, CAST(first + diagonal AS INT) AS doc_start, CAST(first AS INT) AS item_start, CAST(len AS INT) AS n_tokens, CAST(equal AS INT) AS n_equal, round(equal / len::DOUBLE, 6) AS similarity
+FROM best WHERE rn = 1"""
+
+
+def _spans(name: str, pattern: str, rank: int, group: int, least: int, more: str = "true") -> str:
+    """name: doc_id, start, end_, rank, value of the matches of a pattern, by the lengths of gaps and matches before each."""
+    quoted = pattern.replace("'", "''")
+    return f"""{name}_p AS (SELECT doc_id, regexp_split_to_array(t, '{quoted}') AS gaps, regexp_extract_all(t, '{quoted}') AS hits, regexp_extract_all(t, '{quoted}', {group}) AS vals FROM docs WHERE regexp_matches(t, '{quoted}')),
+{name}_k AS (SELECT doc_id, unnest(hits) AS hit, unnest(vals) AS value, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS k FROM {name}_p),
+{name}_s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY k) AS end_ FROM {name}_k),
+{name} AS (SELECT doc_id, end_ - length(hit) AS start, end_, {rank} AS rank, value FROM {name}_s WHERE length(value) >= {least} AND {more})"""
+
+
+def secrets(min_owners: int, min_repos: int) -> str:
+    """Spans of the base kinds and of mixed tokens, verdicts by owners and repositories, for each document."""
+    kinds = "['" + "', '".join(secret_scan.KINDS) + "']"
+    mixed = f"NOT regexp_matches(value, '^(?:{secret_scan.ASSIGN})') AND NOT regexp_matches(value, '{secret_scan.ACCESS}|{secret_scan.HEX}') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')".replace(
+        secret_scan.ASSIGN, secret_scan.ASSIGN.replace("'", "''")
+    )
+    loose = f"(?:{secret_scan.ASSIGN}|{secret_scan.MIXED})"
+    listed = "coalesce(string_agg({0}[rank + 1] || ':' || start || ':' || end_, ',' ORDER BY start, rank){1}, '')".format
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+{_spans("assign", secret_scan.ASSIGN, 0, 1, secret_scan.ASSIGN_MIN)},
+{_spans("access", secret_scan.ACCESS, 1, 0, 0)},
+{_spans("hex", secret_scan.HEX, 2, 0, 0)},
+{_spans("mixed", loose, 3, 0, 0, mixed)},
+every AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex UNION ALL SELECT * FROM mixed),
+by_value AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos, len(list_distinct(string_split(value, ''))) < 7 AS filler FROM every JOIN docs USING (doc_id) GROUP BY value),
+verdicts AS (SELECT value, CASE WHEN owners >= {min_owners} OR (owners > 1 AND repos >= {min_repos}) THEN 'example' WHEN filler THEN 'filler' WHEN owners = 1 AND repos < {min_repos} THEN 'live' WHEN owners = 1 THEN 'house' ELSE 'shared' END AS verdict FROM by_value),
+told AS (SELECT * FROM every JOIN verdicts USING (value))
+SELECT d.doc_id, count(CASE WHEN rank = 0 THEN 1 END) AS n_assign, count(CASE WHEN rank = 1 THEN 1 END) AS n_access, count(CASE WHEN rank = 2 THEN 1 END) AS n_hex,
+  sha256({listed(kinds, " FILTER (rank < 3)")}) AS base_sha256, {listed(kinds, " FILTER (rank < 3 OR verdict = 'live')")} AS spans, count(CASE WHEN verdict = 'live' THEN 1 END) AS n_live,
+  count(CASE WHEN verdict = 'example' THEN 1 END) AS n_example, {listed(kinds, " FILTER (verdict = 'live')")} AS live
+FROM docs d LEFT JOIN told t USING (doc_id) GROUP BY d.doc_id"""

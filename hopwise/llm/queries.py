@@ -98,6 +98,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.quality_rules(alpha=0.02, delta=0.05),
+    "op4_decontamination": oracles.OVERLAPS,
+    "op6_secret_scan": oracles.secrets(min_owners=3, min_repos=4),
     "op5_line_dedup": oracles.LINES,
     "op7_warc": oracles.WARC,
     "op9_mixing": oracles.mixing(
