@@ -1,10 +1,12 @@
 """The pipeline's stages, each on its own input."""
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
+from hopwise.llm.common import scratch_path
 from tests.llm.test_shingles import brute
 
 
@@ -72,3 +74,19 @@ def test_stages_keep_odd_rows_and_columns(spark, docs, tmp_path, name):
     last = stages["shards"](spark, now, sf_dir)
     assert last.columns == [*data.columns, "shard", "slot"]
     assert Counter((r["doc_id"], r["text"], r[name]) for r in last.collect()) == Counter((r["doc_id"], r["text"], r[name]) for r in mixed)
+
+
+def test_a_run_leaves_its_result_alone(spark, docs, tmp_path):
+    sf_dir = write(spark, tmp_path, docs(*((k, prose(k), "en", f"src{k % 8}") for k in range(12))))
+    folder = Path(scratch_path(spark, "x").removeprefix("file:")).parent
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    made = corpus_pipeline.run(spark, sf_dir)
+    (left,) = {p.name for p in folder.iterdir()} - before
+    assert left.startswith("pipeline-shards") and made.count() > 0
+
+
+def test_a_stage_keeps_what_its_docs_are_read_from(spark, docs, tmp_path):
+    """Docs that weren't written in between, against the stages' contract, are still there."""
+    sf_dir = write(spark, tmp_path, docs(*((k, prose(k)) for k in range(5))))
+    now = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert corpus_pipeline.decontamination(spark, now, sf_dir).count() == 5
