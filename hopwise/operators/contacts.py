@@ -225,8 +225,13 @@ def contacts(of_events: DataFrame, *, hop: int = 1, min_prob: float = 0.0, accep
     return best.select("susceptible_id", F.col("o.p_trip").alias("spreader_id"), F.col("o.cst").alias("cst"), F.lit(hop).alias("hop"), "probability")
 
 
-def overlapping(q: DataFrame, p: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of intervals of different trips that overlap (half-open), by time bins alone.
+def spans_overlap(a1: Column, l1: Column, a2: Column, l2: Column, least_s: int = 0) -> Column:
+    """Whether two spans of time meet, ends included, and share least_s seconds at least."""
+    return F.least(l1, l2) - F.greatest(a1, a2) >= least_s
+
+
+def overlapping(q: DataFrame, p: DataFrame, width: int, keys: tuple[str, ...] = (), least_s: int = 0) -> DataFrame:
+    """Pairs of intervals of different trips that overlap (half-open), by time bins alone; for least_s seconds at least.
 
     Both sides: trip_id, seq, arrive_ts, leave_ts. Out: q_trip, i, p_trip, j, overlap_s.
     """
@@ -237,7 +242,7 @@ def overlapping(q: DataFrame, p: DataFrame, width: int, keys: tuple[str, ...] =
     met = side(q, "q").join(side(p, "p"), ["bin", *keys]).filter(
         (F.col("q_trip") != F.col("p_trip")) & (F.col("q_a") < F.col("p_l")) & (F.col("p_a") < F.col("q_l")) & (F.col("bin") == F.floor(F.greatest("q_a", "p_a") / width))
     )
-    return met.select("q_trip", "i", "p_trip", "j", (F.least("q_l", "p_l") - F.greatest("q_a", "p_a")).alias("overlap_s"))
+    return met.select("q_trip", "i", "p_trip", "j", (F.least("q_l", "p_l") - F.greatest("q_a", "p_a")).alias("overlap_s")).filter(F.col("overlap_s") >= least_s)
 
 
 def bin_width(min_duration: int, longest: int = 0) -> int:

@@ -431,6 +431,8 @@ ORACLES: dict[str, str] = {
     "trip_prefilter_pairs": BASE + f"""SELECT * FROM (SELECT a.trip_id AS q_trip, b.trip_id AS p_trip, a.t_start <= b.t_end AND b.t_start <= a.t_end AS in_time, {intersects(A, B)} OR {box_distance(A, B)} <= 0.1 AS in_space
       FROM trips a JOIN trips b ON a.trip_id <> b.trip_id WHERE a.trip_id NOT IN (SELECT trip_id FROM seeds) AND b.trip_id IN (SELECT trip_id FROM seeds)) WHERE in_time OR in_space""",
     "interval_overlap_join": BASE + "SELECT q.trip_id AS q_trip, q.seq AS i, count(*) AS n_overlaps, CAST(sum(least(q.leave_ts, p.leave_ts) - greatest(q.arrive_ts, p.arrive_ts)) AS BIGINT) AS overlap_s FROM q JOIN p ON q.trip_id <> p.trip_id AND q.arrive_ts < p.leave_ts AND p.arrive_ts < q.leave_ts GROUP BY ALL",
+    "long_overlaps": BASE + "SELECT q.trip_id AS q_trip, q.seq AS i, p.trip_id AS p_trip, p.seq AS j, least(q.leave_ts, p.leave_ts) - greatest(q.arrive_ts, p.arrive_ts) AS overlap_s FROM q JOIN p ON q.trip_id <> p.trip_id AND least(q.leave_ts, p.leave_ts) - greatest(q.arrive_ts, p.arrive_ts) >= 3600",
+    "neighbouring_spans": BASE + ", f AS (SELECT trip_id, arg_min(arrive_ts, seq) AS a, arg_min(leave_ts, seq) AS l FROM stays GROUP BY trip_id) SELECT x.trip_id, x.a <= y.l AND y.a <= x.l AS meet, least(x.l, y.l) - greatest(x.a, y.a) >= 600 AS long FROM f x JOIN f y ON y.trip_id = x.trip_id + 1",
     "contact_pairs": BASE + pair_ctes("x", "q", "p", "q.point_id = p.point_id") + "SELECT q_trip, i, p_trip, j, start_ts, end_ts FROM pairs_x",
     "contact_pairs_radius": BASE + pair_ctes("x", "q", "p", f"{FAR} <= {RADIUS}", FAR) + "SELECT q_trip, i, p_trip, j, start_ts, end_ts, round(dist, 5) AS dist_km FROM pairs_x",
     "contact_runs": BASE + pair_ctes("x", "q", "p", f"{FAR} <= {RADIUS}") + "SELECT q_trip, p_trip, CAST(run AS BIGINT) AS run, min(run_start) AS run_start, CAST(max(cum) AS BIGINT) AS duration_s, count(*) AS n_pairs FROM runs_x GROUP BY q_trip, p_trip, run",
@@ -486,4 +488,5 @@ ORACLES: dict[str, str] = {
       SELECT a.trip_id AS q_trip, b.trip_id AS p_trip FROM pieces a JOIN pieces b ON a.trip_id <> b.trip_id AND a.trip_id // 1000 % {SEED_EVERY} <> 0 AND b.trip_id // 1000 % {SEED_EVERY} = 0
       AND a.t_start <= b.t_end AND b.t_start <= a.t_end AND ({intersects(A, B)} OR {box_distance(A, B)} <= 0.1)""",
     "run_parameters": "SELECT * FROM (VALUES ('contact_min_duration', '600'), ('contact_min_prob', '0.0'), ('data_total', '10'), ('dataset_type', 'Synthetic'), ('home_path', './Testing/'), ('identical_poi_dist_max', '0.0'), ('independent_contact_prob', 'True'), ('init_contact_ratio', '0.2'), ('multi_hop', '5'), ('privacy_epsilon_geo', '4.0'), ('privacy_epsilon_semantic', '4.0'), ('privacy_model', 'geo'), ('search_type', 'IR'), ('run_name', 'Synthetic_D10_QR0-2_G_EG4-0_FS_MH5_CD0-0_CT600_IR')) t(key, value)",
+    "run_names": "SELECT * FROM (VALUES (0::BIGINT, 'PCTi', 'Synthetic_D200_QR0-2_G_EG4-0_FS_MH1_ICP0-05_CD0-1_CT60_IR'), (1, 'PCTc', 'Synthetic_D200_QR0-2_S_ES4-0_FS_MH1_CCP0-05_CD0-1_CT60_IR'), (2, 'PCT', 'Geolife_D200_DS0_QR0-2_GS_EG4-0_ES4-0_FS_MH1_CD0-1_CT60_IR'), (3, 'PCTi', 'Geolife_D200_DS0_QR0-2_GS_EG4-0_ES4-0_FS_MH1_ICP0-125_CD0-1_CT60_IR'), (4, 'PCT', 'Synthetic_D200_QR0-2_ground_truth_FS_MH1_CD0-1_CT60_IR')) t(case_id, mode, name)",
 }

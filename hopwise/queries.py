@@ -17,7 +17,7 @@ from hopwise.operators import contacts as C
 from hopwise import run
 from hopwise.operators import multihop, places, privacy, sinks, staypoints, trips
 from hopwise.oracles import ORACLES  # noqa: F401
-from hopwise.plans.config import TracingConfig
+from hopwise.plans.config import TracingConfig, parse_config
 from hopwise.sources import fixture
 
 MIN_DURATION = 600
@@ -213,6 +213,22 @@ def interval_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.overlapping(q, p, C.bin_width(MIN_DURATION, 7200)).groupBy("q_trip", "i").agg(F.count("*").alias("n_overlaps"), F.sum("overlap_s").alias("overlap_s"))
 
 
+@query
+def long_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays that share an hour at least."""
+    q, p = split_sides(the_stays(spark, sf_dir))
+    return C.overlapping(q, p, C.bin_width(MIN_DURATION, 7200), least_s=3600).select("q_trip", "i", "p_trip", "j", "overlap_s")
+
+
+@query
+def neighbouring_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first stays of trips n and n + 1 meet in time, and whether for ten minutes."""
+    of = trips.first_stays(the_stays(spark, sf_dir)).select("trip_id", "arrive_ts", "leave_ts")
+    other = of.select((F.col("trip_id") - 1).alias("trip_id"), F.col("arrive_ts").alias("a2"), F.col("leave_ts").alias("l2"))
+    span = [F.col(c) for c in ("arrive_ts", "leave_ts", "a2", "l2")]
+    return of.join(other, "trip_id").select("trip_id", C.spans_overlap(*span).alias("meet"), C.spans_overlap(*span, least_s=600).alias("long"))
+
+
 def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pairs(*split_sides(the_stays(spark, sf_dir)), min_duration=MIN_DURATION, exact=True)
 
@@ -380,7 +396,12 @@ def private_trace(spark: SparkSession, sf_dir: str, config: TracingConfig) -> Da
     return run.traced(config, of, the_seeds(of), the_pois(spark), the_distributions(spark))
 
 
-GEO_RUN = TracingConfig(privacy_model="geo", multi_hop=HOPS, identical_poi_dist_max=0.0, contact_min_duration=MIN_DURATION)
+GEO_RUN = parse_config(f"""# a geo-indistinguishable run
+privacy_model = geo
+multi_hop = {HOPS}
+identical_poi_dist_max = 0
+contact_min_duration = {MIN_DURATION}
+""")
 
 
 @query
@@ -539,3 +560,14 @@ def trip_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([*GEO_RUN.rendered(), ("run_name", GEO_RUN.run_name())], "key string, value string")
+
+
+@query
+def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of runs of all privacy models and of probabilistic ones, from configuration texts."""
+    texts = [f"privacy_model = {model}\ncontact_min_prob = {prob}\nindependent_contact_prob = {tied}\ndataset_type = {data}\ndata_total = 200" for model, prob, tied, data in RUNS]
+    rows = [(k, config.mode, config.run_name()) for k, config in enumerate(map(parse_config, texts))]
+    return spark.createDataFrame(rows, "case_id long, mode string, name string")
+
+
+RUNS = [("geo", 0.05, "true", "Synthetic"), ("semantic", 0.05, "false", "Synthetic"), ("geosemantic", 0, "true", "Geolife"), ("GS", 0.125, "true", "Geolife"), ("ground_truth", 0.05, "true", "Synthetic")]
