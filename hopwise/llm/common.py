@@ -15,6 +15,8 @@ from hopwise.plans.workers import importable
 
 #: What separates words: space and the ASCII controls from tab to carriage return.
 GAPS = r"[\x20\x09-\x0D]+"
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 
 _session_key = uuid.uuid4().hex
 #: Folders below the session's into which scratch goes now; the last one counts.

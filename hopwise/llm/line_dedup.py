@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm import bits
-from hopwise.llm.common import GAPS, let, materialize, packed
+from hopwise.llm.common import GAPS, WORD, let, materialize, packed
 
 MIN_WORDS = 5
 
@@ -41,7 +41,8 @@ def _hash_pair(value: Column, *more: Column) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, line_no (from 0) and w, its words, for every line with a word."""
     rows = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    return rows.select("__id", "line_no", F.array_remove(F.split("line", GAPS), "").alias("w")).filter(F.size("w") > 0)
+    # Told by the line, as a condition on its words would be moved in front of them and split it once more.
+    return rows.filter(F.col("line").rlike(WORD)).select("__id", "line_no", F.array_remove(F.split("line", GAPS), "").alias("w"))
 
 
 def _halves(w: Column, n: Column) -> Column:
