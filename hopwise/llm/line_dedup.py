@@ -25,6 +25,8 @@ deduplicated(), whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,29 @@ from hopwise.llm import bits
 from hopwise.llm.common import GAPS, WORD, let, materialize, packed
 
 MIN_WORDS = 5
+#: What separates words besides space and line feed.
+OTHER_GAPS = "\t\x0b\x0c\r"
 
 
 def _hash_pair(value: Column, *more: Column) -> Column:
     return F.struct(F.xxhash64(value, *more).alias("a"), F.xxhash64(F.lit("b"), value, *more).alias("b"))
 
 
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__id, line_no (from 0) and line."""
+    return docs.select(F.col(f"`{id_col}`").alias("__id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line"))
+
+
+def _line_words() -> Column:
+    """The words of column line. Most lines have no gaps but spaces, by which they are split without a regular expression."""
+    odd = reduce(Column.__or__, (F.col("line").contains(gap) for gap in OTHER_GAPS))
+    return F.array_remove(F.when(odd, F.split("line", GAPS)).otherwise(F.split("line", " ")), "")
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, line_no (from 0) and w, its words, for every line with a word."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
     # Told by the line, as a condition on its words would be moved in front of them and split it once more.
-    return rows.filter(F.col("line").rlike(WORD)).select("__id", "line_no", F.array_remove(F.split("line", GAPS), "").alias("w"))
+    return _raw_lines(docs, id_col, text_col).filter(F.col("line").rlike(WORD)).select("__id", "line_no", _line_words().alias("w"))
 
 
 def _halves(w: Column, n: Column) -> Column:
@@ -131,8 +145,7 @@ def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     some = materialize(halves.join(shared, "k", "left_semi").groupBy("h", "first").agg(left, right), "survivors")
     # Their words are read again at their earliest place; other lines needn't be split into words for that.
     places = some.select(F.col("first.id").alias("__id"), F.col("first.line_no").alias("line_no"))
-    raw = docs.select(F.col(f"`{id_col}`").alias("__id"), F.posexplode(F.split(F.col(f"`{text_col}`").cast("string"), "\n")).alias("line_no", "line"))
-    again = bits.semi(raw, places, "__id", "line_no").select("__id", "line_no", F.array_remove(F.split("line", GAPS), "").alias("w"))
+    again = bits.semi(_raw_lines(docs, id_col, text_col), places, "__id", "line_no").select("__id", "line_no", _line_words().alias("w"))
     here = F.col("__id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no"))
     joined = some.join(again.select("__id", "line_no", _hash_pair(F.col("w")).alias("h"), "w"), "h").filter(here)
     texts = materialize(joined.select("first", "h", "w", "left", "right").dropDuplicates(["h"]), "texts")

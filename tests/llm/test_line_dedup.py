@@ -72,3 +72,9 @@ def test_deduplicated_keeps_columns_of_any_name(docs, name):
     assert out.columns == data.columns
     assert {(r["doc_id"], r["text"], r[name]) for r in out.collect()} == {(1, "one line of five words\nnext", 27), (2, "", 22), (3, None, 0)}
     assert line_dedup.duplicates(data).count() == 1
+
+
+def test_all_gaps_separate_words(docs):
+    rows = ["a b c d e\nf\tg h\x0bi j", "a\tb\x0bc\x0cd\re\n\t\r", "f g  h i j\n \n\x0c"]
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.duplicates(docs(*enumerate(rows))).collect()}
+    assert got == {(1, 0), (2, 0)}
