@@ -49,3 +49,29 @@ def test_edges(docs, empty):
     data = docs((1, None), (1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, "token=abcdefgh")).withColumnRenamed("n_chars", "spans")
     assert sorted(r["n_assign"] for r in spans(data)) == [0, 1, 1, 1]
     assert spans(empty) == []
+
+
+def test_verdicts_by_owner_and_repository_equal_counts(docs):
+    rng = random.Random(4)
+    values = [f"Val{k}abcdefgh{k * 37}" for k in range(14)] + ["aaaaaaaaaaaa", "ababababab"]
+    rows = [(k, f"secret={rng.choice(values[: 4 + k % 12])} and token={rng.choice(values)}", rng.choice(["en", "de", "fr", "es", "it"]), f"s{rng.choice([0, 0, 0, 0, 1, 2])}") for k in range(90)]
+    rows += [(100 + k, f"secret=HouseSample{77}x", lang, "s5") for k, lang in enumerate(["en", "de", "fr", "es", "it"])]
+    rows += [(120, "secret=aaaaaaaaab", "en", "s6"), (121, "secret=OnlyHere123z", "en", "s6")]
+    rows += [(110 + k, "secret=BothSample99y", lang, owner) for k, (lang, owner) in enumerate([("en", "s1"), ("de", "s1"), ("fr", "s2"), ("es", "s2")])]
+    owners, repos = {}, {}
+    for _, text, lang, owner in rows:
+        for m in ASSIGN.finditer(text):
+            owners.setdefault(m[2], set()).add(owner)
+            repos.setdefault(m[2], set()).add((owner, lang))
+
+    def verdict(value):
+        n, m = len(owners[value]), len(repos[value])
+        if n >= 3 or (n > 1 and m >= 4):
+            return "example"
+        return "filler" if len(set(value)) < 7 else "live" if n == 1 and m < 4 else "house" if n == 1 else "shared"
+
+    found = {r["doc_id"]: r for r in spans(docs(*rows))}
+    for doc_id, text, _, _ in rows:
+        told = [verdict(m[2]) for m in ASSIGN.finditer(text)]
+        assert (found[doc_id]["n_live"], found[doc_id]["n_example"]) == (told.count("live"), told.count("example"))
+    assert {"example", "filler", "live", "house"} <= {verdict(v) for v in owners}
