@@ -113,7 +113,15 @@ def often_seen(texts: DataFrame, words: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["h"])
 
     sample = texts.filter(F.pmod("__copy", F.lit(SAMPLED)) == 0).groupBy("__copy").agg(F.first("__t").alias("__t")).select("__t")
-    often = sample.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
+    counted = sample.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
+    counted = materialize(counted.select("h", F.floor(F.log2("count")).alias("log")), "often")
+    held, least = 0, 64
+    for r in counted.groupBy("log").count().orderBy(F.desc("log")).collect():  # the most frequent ones that the table can tell apart
+        held += r["count"]
+        if held > 1 << (LOG_BITS - 3) and least < 64:
+            break
+        least = r["log"]
+    often = counted.filter(F.col("log") >= least)
     at = often.select(F.shiftright("h", 63 - LOG_BITS).cast("int").alias("at"))  # as bits.table(), for Python to read
     filled = at.groupBy(F.shiftright("at", 5).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("w"))
     table = np.zeros((1 << (LOG_BITS - 5), 32), bool)

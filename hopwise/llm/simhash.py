@@ -310,8 +310,10 @@ def kept_rows(docs: DataFrame, found: DataFrame, hashed, key: str, id_col: str,
 
     hashed: from a text to its key; only called for ids that come more than once.
     """
-    rows = found.filter(F.col("__id").isNotNull()).groupBy("__id", key).agg(F.count("*").alias("n"), F.min("root").alias("root"))
-    # Both sides of joins on root are plain tables, as a component may be large: Spark can split its partition then.
+    # What is joined on a key or root is a plain table on either side and is written before it is grouped, as copies and
+    # components may be large: Spark can split their partition then.
+    rows = materialize(found, "components").filter(F.col("__id").isNotNull()).groupBy("__id", key).agg(F.count("*").alias("n"), F.min("root").alias("root"))
+    rows = materialize(rows, "rows")
     first = materialize(rows.groupBy("root").agg(F.min(F.struct("__id", key)).alias("first")), "firsts")
     flagged = materialize(rows.join(first, "root").select("__id", key, "n", (F.struct("__id", key) == F.col("first")).alias("stays")), "flagged")
     by_id = flagged.groupBy("__id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
