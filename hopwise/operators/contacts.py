@@ -7,8 +7,8 @@ below; a stay takes the lowest level at which it touches few bins, and a pair me
 so long stays don't fall into very many bins.
 
 The place is the coordinate itself where places must be equal; else a grid cell. Radii come in classes, each
-twice the one below and with a grid of its own; a pair meets in the grid of the larger class, where the stay of that class is in
-all cells within reach and the other in its own. So a few wide radii don't coarsen the grid of the others.
+twice the one below and with a grid of its own; a pair meets in the grid of the larger class, where the stay of that class (of
+equal ones, that of the side with fewer stays) is in all cells within reach and the other in its own. So a few wide radii don't coarsen the grid of the others.
 """
 
 from __future__ import annotations
@@ -67,23 +67,23 @@ def longest_stay(*sides: DataFrame) -> int:
     return max(x.agg(F.coalesce(F.max(F.col("leave_ts") - F.col("arrive_ts")), F.lit(0))).first()[0] for x in sides)
 
 
-def _classes(sides: tuple[DataFrame, ...], least: float) -> list[float]:
-    """The largest radius of each class, doubling from what is usual up to the largest there is."""
-    found = [x.agg(F.coalesce(F.max("radius"), F.lit(0.0)), F.coalesce(F.avg("radius"), F.lit(0.0))).first() for x in sides]
-    most = float(max(r[0] for r in found))
+def _classes(q: DataFrame, p: DataFrame, least: float) -> tuple[list[float], bool]:
+    """The largest radius of each class, doubling from what is usual up to the largest there is; and whether q has fewer rows than p."""
+    found = [x.agg(F.coalesce(F.max("radius"), F.lit(0.0)), F.coalesce(F.avg("radius"), F.lit(0.0)), F.count("*")).first() for x in (q, p)]
+    most, fewer = float(max(r[0] for r in found)), found[0][2] < found[1][2]
     if most <= 0:
-        return [0.0]
+        return [0.0], fewer
     out = [min(most, max(least, *(float(r[1]) for r in found)))]
     while out[-1] < most:
         out.append(min(most, out[-1] * 2))
-    return out
+    return out, fewer
 
 
 def _in_cells(rows: DataFrame, n: str, classes: list[float], base: float, mode: int) -> DataFrame:
     """rows, once for each grid cell (mode, cls, cx, cy) where they can meet the other side.
 
     In its own mode a row is in all cells of its class's grid within reach; in the other mode, in its own cell of the grids
-    of larger classes (for mode 1 rows, the right side, of its own class too, as of equal classes the left side reaches out).
+    of larger classes (for mode 1 rows of its own class too, as of equal classes the side of mode 0 reaches out).
     """
     sizes = F.array(*(F.lit(max(degrees_for(base + 2 * r) * 2 / CELLS_ACROSS, 1e-5)) for r in classes))
     largest = F.array(*(F.lit(r) for r in classes))
@@ -122,7 +122,7 @@ def pairs(
     d and all radii are 0. longest: seconds of the longest stay, if known. cells: false joins by time alone.
     """
     base = d_km + tolerance_km
-    classes = [0.0] if exact or (exact is None and not cells) else _classes((q, p), max(base, 0.01))
+    classes, q_reaches = ([0.0], False) if exact or not cells else _classes(q, p, max(base, 0.01))
     if exact is None:
         exact = base == 0 and classes == [0.0] and cells
     levels = widths(BIN_FACTOR * min_duration, longest_stay(q, p) if longest is None else longest)
@@ -147,9 +147,11 @@ def pairs(
     else:
         keys = ["lvl", "bin"]
         if cells:
-            left, right = _in_cells(left, "q", classes, base, 0), _in_cells(right, "p", classes, base, 1)
+            # Of equal classes the side with fewer rows reaches out, which makes the fewest.
+            left, right = _in_cells(left, "q", classes, base, 1 - q_reaches), _in_cells(right, "p", classes, base, int(q_reaches))
             keys += ["mode", "cls", "cx", "cy"]
-            reaches = F.when(F.col("mode") == 0, F.col("q_class") >= F.col("p_class")).otherwise(F.col("q_class") < F.col("p_class"))
+            one, other = ("q_class", "p_class") if q_reaches else ("p_class", "q_class")
+            reaches = F.when(F.col("mode") == 0, F.col(one) >= F.col(other)).otherwise(F.col(one) < F.col(other))
             meet = meet & (F.col("cls") == F.greatest("q_class", "p_class")) & reaches
         far = haversine("q_lng", "q_lat", "p_lng", "p_lat")
         near = left.join(right, keys).filter(meet).withColumn("dist", far).filter(F.col("dist") <= F.lit(base) + F.col("q_radius") + F.col("p_radius"))

@@ -138,6 +138,8 @@ def test_pairs_of_long_stays_and_mixed_radii_equal_brute_force(spark):
     for cells in (True, False):
         found = contacts.pairs(spark.createDataFrame(q, schema), infectious, d_km=0.5, min_duration=600, cells=cells).collect()
         assert {(r["q_trip"], r["i"], r["p_trip"], r["j"]) for r in found} == expected and len(found) == len(expected) > 50
+    fewer = contacts.pairs(spark.createDataFrame(q[:20], schema), infectious, d_km=0.5, min_duration=600).collect()
+    assert {(r["q_trip"], r["i"], r["p_trip"], r["j"]) for r in fewer} == {x for x in expected if x[0] <= 5}
 
 
 def test_probabilities_equal_plain_sums():
